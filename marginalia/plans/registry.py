@@ -6,7 +6,7 @@ import importlib
 
 from marginalia.plans.tables import Tables
 
-AREAS = ["q_text"]
+AREAS = ["q_text", "q_questions", "q_access"]
 
 
 def _entries() -> dict:
