@@ -47,13 +47,15 @@ def _carry_in(df: DataFrame, keys: list[str], per_segment: Column, combine) -> D
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], pos: str, value: Column, out: str, size: int = SEGMENT
+    df: DataFrame, keys: list[str], pos: str, value: Column, out: str, size: int = SEGMENT,
+    strict: bool = False,
 ) -> DataFrame:
-    """Last non-null value at or before each row (forward fill)."""
+    """Last non-null value at or before each row (forward fill); strictly before with `strict`."""
     df = df.withColumn("_val", value).withColumn("seg", segment(F.col(pos), size))
     last = F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(pos)))
     carry = _carry_in(df, keys, last, lambda v: F.last(v, ignorenulls=True))
-    w = W.partitionBy(*keys, "seg").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    end = -1 if strict else 0
+    w = W.partitionBy(*keys, "seg").orderBy(pos).rowsBetween(W.unboundedPreceding, end)
     return (
         df.withColumn("_here", F.last("_val", ignorenulls=True).over(w))
         .join(carry, [*keys, "seg"], "left")
