@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions.text import clean_text
+from marginalia.plans.sequence import running_count, with_halo
 
 
 def window_starts(n: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -31,3 +32,163 @@ def window_pieces(text: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK
     )
     pieces = F.when(n > size * 2, cut).otherwise(F.array(text))
     return F.filter(pieces, lambda p: p != "")
+
+
+# --- greedy packing (C01) -----------------------------------------------------------------------
+#
+# Packing is sequential: where a chunk starts depends on where the one before ended. It still
+# splits: a chunk holds at most MAX_BLOCKS blocks, so the first start inside a segment is one of
+# few offsets. Each segment tells, for every such entry offset, at which offset of the next
+# segment it leaves; chaining those small tables gives every segment its entry, and then all
+# segments are packed independently. Only lengths and sheet names pass through Python.
+
+SEGMENT_BLOCKS = 16384
+
+
+def _max_blocks(size: int) -> int:
+    return size // 3 + 2
+
+
+def _next_starts(length: np.ndarray, sheet: np.ndarray, xlsx: np.ndarray, size: int) -> np.ndarray:
+    """For every block, where the next chunk starts if a chunk starts here."""
+    n = len(length)
+    ends = np.concatenate([[0], np.cumsum(length + 2)])
+    nxt = np.searchsorted(ends, ends[:-1] + size + 2, side="right") - 1
+    here = np.arange(n)
+    nxt = np.maximum(nxt, here + 1)
+    long_at = length > 2 * size
+    barrier = np.full(n + 1, n, dtype=np.int64)
+    differs = np.full(n + 1, n, dtype=np.int64)
+    named = n  # nearest block at or after i with a sheet name
+    named_at = np.full(n + 1, n, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        barrier[i] = i if long_at[i] else barrier[i + 1]
+        if sheet[i] and xlsx[i]:
+            differs[i] = n if named == n else (named if sheet[named] != sheet[i] else differs[named])
+            named = i
+        named_at[i] = named
+    by_sheet = np.where(named_at[:-1] < n, differs[np.minimum(named_at[:-1], n)], n)
+    nxt = np.minimum(np.minimum(nxt, barrier[1:]), by_sheet)
+    return np.where(long_at, here + 1, np.maximum(nxt, here + 1))
+
+
+def _segment_arrays(pdf: pd.DataFrame, size: int):
+    pdf = pdf.sort_values("pos")
+    starts = _next_starts(
+        pdf["n_chars"].to_numpy(np.int64), pdf["sheet"].fillna("").to_numpy(object),
+        pdf["is_xlsx"].to_numpy(bool), size,
+    )
+    return pdf, int(pdf["own"].sum()), starts
+
+
+def _exits(size: int):
+    width = _max_blocks(size)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, own, nxt = _segment_arrays(pdf, size)
+        out = np.zeros(own, dtype=np.int64)
+        for i in range(own - 1, -1, -1):
+            out[i] = nxt[i] - own if nxt[i] >= own else out[nxt[i]]
+        table = np.arange(width) - own
+        k = min(own, width)
+        table[:k] = out[:k]
+        return pd.DataFrame(
+            {"file_md5": [pdf["file_md5"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "exits": [np.maximum(table, 0).tolist()]}
+        )
+
+    return run
+
+
+def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seg")
+    entry, at = [], 0
+    for table in pdf["exits"]:
+        entry.append(at)
+        at = int(table[at])
+    return pd.DataFrame({"file_md5": pdf["file_md5"], "seg": pdf["seg"], "entry": entry})
+
+
+def _assign(size: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, own, nxt = _segment_arrays(pdf, size)
+        entry = int(pdf["entry"].iloc[0])
+        start = np.full(len(pdf), -1, dtype=np.int64)
+        i = entry
+        while i < own:
+            stop = int(nxt[i])
+            start[i:stop] = i
+            i = stop
+        index = pdf["block_index"].to_numpy()
+        mine = start >= 0
+        return pd.DataFrame(
+            {"file_md5": pdf["file_md5"][mine], "block_index": index[mine], "chunk_start": index[start[mine]]}
+        )
+
+    return run
+
+
+def chunk_starts(blocks: DataFrame, size: int = C.CHUNK_SIZE, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
+    """(file_md5, block_index, chunk_start): the first block of the chunk a block goes into."""
+    narrow = blocks.select(
+        "file_md5", F.col("block_index").cast("long").alias("block_index"),
+        F.length(clean_text(F.col("text"))).alias("n_chars"), "sheet",
+        (F.lower(F.coalesce("file_type", F.lit(""))) == "xlsx").alias("is_xlsx"),
+    ).filter("n_chars > 0")
+    narrow = running_count(narrow, ["file_md5"], "block_index", F.lit(1), "pos", segment_blocks)
+    narrow = with_halo(narrow.withColumn("pos", F.col("pos") - 1), "pos", 0, _max_blocks(size), segment_blocks)
+    exits = narrow.groupBy("file_md5", "seg").applyInPandas(_exits(size), "file_md5 string, seg long, exits array<int>")
+    entries = exits.groupBy("file_md5").applyInPandas(_entries, "file_md5 string, seg long, entry int")
+    return (
+        narrow.join(entries, ["file_md5", "seg"])
+        .groupBy("file_md5", "seg")
+        .applyInPandas(_assign(size), "file_md5 string, block_index long, chunk_start long")
+    )
+
+
+def pack_blocks(
+    blocks: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
+    segment_blocks: int = SEGMENT_BLOCKS,
+) -> DataFrame:
+    """Enriched blocks to chunks with merged metadata and their source list."""
+    body = blocks.withColumn("text", clean_text(F.col("text"))).filter(F.col("text") != "")
+    placed = body.join(chunk_starts(blocks, size, segment_blocks), ["file_md5", "block_index"])
+
+    def first(name):
+        value = F.when(F.col(name).cast("string") != "", F.col(name))
+        return F.min_by(value, F.when(value.isNotNull(), F.col("block_index"))).alias(name)
+
+    source = F.struct(
+        "block_index", F.col("type").alias("source_type"), "source_parser", "sheet", "page", "section",
+        "image_path", F.left("text", F.lit(C.PREVIEW_CHARS)).alias("text_preview"), "document_unit_key",
+        "quality_status", "text",
+    )
+    packed = placed.groupBy("file_md5", "chunk_start").agg(
+        F.array_sort(F.collect_list(source)).alias("s"),
+        F.count_distinct("type").alias("_kinds"), F.min_by("type", "block_index").alias("_kind"),
+        F.min_by("source_parser", "block_index").alias("source_parser"), F.min_by("file_type", "block_index").alias("file_type"),
+        first("page"), first("section"), first("sheet"), first("image_path"),
+        first("document_unit_key"), first("document_unit_type"), first("document_unit_name"),
+        F.max("quality_score").alias("quality_score"),
+        F.when(F.bool_or(F.col("quality_status") == "rejected"), "rejected")
+        .when(F.bool_or(F.col("quality_status") == "weak"), "weak")
+        .otherwise(F.max_by("quality_status", "block_index")).alias("quality_status"),
+    )
+    long_text = (F.size("s") == 1) & (F.length(F.element_at("s", 1)["text"]) > 2 * size)
+    joined = clean_text(F.array_join(F.col("s.text"), "\n\n"))
+    packed = packed.withColumn(
+        "pieces", F.when(long_text, window_pieces(joined, size, overlap)).otherwise(F.array(joined))
+    ).withColumn("_n", F.size("pieces"))
+    packed = running_count(packed, ["file_md5"], "chunk_start", F.col("_n"), "_upto", segment_blocks)
+    pieces = packed.select("*", F.posexplode("pieces").alias("_i", "text_content"))
+    preview = F.when(F.col("_n") > 1, F.left("text_content", F.lit(C.PREVIEW_CHARS)))
+    sources = F.transform(
+        "s",
+        lambda s: s.dropFields("text").withField("text_preview", F.coalesce(preview, s["text_preview"])),
+    )
+    return pieces.select(
+        "file_md5", (F.col("_upto") - F.col("_n") + F.col("_i")).cast("int").alias("chunk_id"), "text_content",
+        F.when(F.col("_kinds") > 1, "mixed").otherwise(F.col("_kind")).alias("chunk_type"),
+        "page", "section", "sheet", "image_path", "source_parser", "file_type",
+        "document_unit_key", "document_unit_type", "document_unit_name", "quality_score", "quality_status",
+        sources.alias("sources"),
+    )

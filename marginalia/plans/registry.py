@@ -6,7 +6,7 @@ import importlib
 
 from marginalia.plans.tables import Tables
 
-AREAS = ["q_text", "q_questions", "q_access", "q_evaluation"]
+AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure"]
 
 
 def _entries() -> dict:

@@ -24,13 +24,13 @@ def with_halo(
     """Copy the rows near a segment border into the neighbour segment.
 
     Adds `seg` and `own`; a window by (key, seg) over a range of `before`/`after` positions
-    then sees all it needs, and `own` rows are the ones to keep.
+    then sees all it needs, and `own` rows are the ones to keep. Positions start at 0.
     """
     assert before < size and after < size
     p = F.col(pos)
     home = segment(p, size)
     offset = F.pmod(p, F.lit(size))
-    prev = F.when(offset < after, home - 1) if after else F.lit(None).cast("long")
+    prev = F.when((offset < after) & (home > 0), home - 1) if after else F.lit(None).cast("long")
     nxt = F.when(offset >= size - before, home + 1) if before else F.lit(None).cast("long")
     targets = F.array_compact(F.array(home, prev, nxt))
     return df.withColumn("seg", F.explode(targets)).withColumn("own", F.col("seg") == home)
