@@ -299,14 +299,13 @@ def clean_line(line: Column) -> Column:
 
 def likely_node(line: Column) -> Column:
     """F33."""
-    t = clean_line(line)
-    low = F.lower(t)
-    return (
-        F.length(t).between(2, 80)
+    return bind(
+        clean_line(line),
+        lambda t: F.length(t).between(2, 80)
         & ~t.rlike(C.NUMBER_LINE)
-        & ~any_contained(low, ["http://", "https://", "www."])
+        & ~any_contained(F.lower(t), ["http://", "https://", "www."])
         & t.rlike(f"[A-Za-z{C.CJK}]")
-        & relation_type(t).isNull()
+        & relation_type(t).isNull(),
     )
 
 

@@ -164,17 +164,14 @@ def tokens(col: Column) -> Column:
     """Lower-case word tokens; Han and Hiragana one by one, Katakana by run."""
     word = (
         r"([\p{IsHan}\p{IsHiragana}]|[\p{IsKatakana}ー]+"
-        r"|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]+)"
+        r"|[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]+)"
     )
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(word), F.lit(1))
 
 
 def any_contained(text: Column, words: list[str]) -> Column:
     """True when one of a fixed list of words occurs in the text."""
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | text.contains(w)
-    return hit
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def count_contained(text: Column, words: list[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
-from marginalia.functions.text import clean_text
+from marginalia.functions.text import bind, clean_text
 from marginalia.plans.sequence import running_count, with_halo
 
 
@@ -26,12 +26,14 @@ def window_starts(n: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OV
 
 def window_pieces(text: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
     """The chunk texts of one cleaned text; short texts stay whole, blank pieces vanish."""
-    n = F.length(text)
-    cut = F.transform(
-        window_starts(n, size, overlap), lambda s: clean_text(F.substr(text, s + 1, F.lit(size)))
-    )
-    pieces = F.when(n > size * 2, cut).otherwise(F.array(text))
-    return F.filter(pieces, lambda p: p != "")
+    def pieces(t):
+        n = F.length(t)
+        cut = F.transform(
+            window_starts(n, size, overlap), lambda s: clean_text(F.substr(t, s + 1, F.lit(size)))
+        )
+        return F.filter(F.when(n > size * 2, cut).otherwise(F.array(t)), lambda p: p != "")
+
+    return bind(text, pieces)
 
 
 # --- greedy packing (C01) -----------------------------------------------------------------------

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions.text import clean_text
+from marginalia.plans.joins import spread
+
+TEXT_TABLES = {"documents"}
 
 
 class Tables:
@@ -17,7 +20,8 @@ class Tables:
         self.dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     @staticmethod
     def file_columns() -> dict:
