@@ -123,10 +123,11 @@ def fallback_page_id(name: Column, hint: Column) -> Column:
     )
 
 
-def confidence(col: Column, default: float = 0.55) -> Column:
-    """F08."""
+def confidence(col: Column, default: float | Column = 0.55) -> Column:
+    """clamped to [0, 1]; the default where it is no number (least/greatest would skip a null)."""
     v = col.try_cast("double")
-    return F.coalesce(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), F.lit(default))
+    d = default if isinstance(default, Column) else F.lit(default)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(d)
 
 
 def quality_tier(score: Column) -> Column:

@@ -24,5 +24,5 @@ def usage_rows(events: DataFrame) -> DataFrame:
         F.greatest(F.coalesce(c("retrieval_count"), F.lit(0)), F.lit(0)).alias("retrieval_count"),
         F.coalesce(_name(c("status")), F.lit("success")).alias("status"),
         F.when(F.length("error_message") > 0, safe_text(c("error_message"), 2000)).alias("error_message"),
-        F.greatest(c("latency_ms"), F.lit(0)).alias("latency_ms"),
+        F.when(c("latency_ms") < 0, 0).otherwise(c("latency_ms")).alias("latency_ms"),
     )

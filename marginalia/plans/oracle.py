@@ -107,9 +107,9 @@ TABLES = {
     "relation_edges": """SELECT md5('nation' || file_no) AS file_md5, 'graph_' || file_no AS file_name,
       src || '->' || relation_type || '->' || dst AS edge_id, src, dst, relation_type, length(src) % 7 AS page
       FROM raw_edges""",
-    "sheet_cells": """SELECT DISTINCT md5((o_custkey % 25)::varchar) AS file_md5, 'sheet_' || (o_custkey % 25) AS sheet,
+    "sheet_cells": """SELECT md5((o_custkey % 25)::varchar) AS file_md5, 'sheet_' || (o_custkey % 25) AS sheet,
       o_custkey::int AS "row", ((year(o_orderdate) - 1992) * 12 + month(o_orderdate))::int AS col,
-      o_orderstatus AS fill_sig FROM orders""",
+      min(o_orderstatus) AS fill_sig FROM orders GROUP BY ALL""",
     "upload_parts": """SELECT DISTINCT md5(l_orderkey::varchar) AS file_md5, l_linenumber - 1 AS chunk_index
       FROM lineitem WHERE l_returnflag <> 'R'""",
     "upload_totals": """SELECT md5(l_orderkey::varchar) AS file_md5, max(l_linenumber) AS total_chunks

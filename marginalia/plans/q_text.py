@@ -120,8 +120,8 @@ def confidence(t: Tables):
 
 CONFIDENCE_SQL = """SELECT event_id, round(c, 6) AS confidence,
   CASE WHEN trunc(c * 100) >= 80 THEN 'accepted' WHEN trunc(c * 100) >= 60 THEN 'weak' ELSE 'rejected' END AS tier
-FROM (SELECT event_id, coalesce(least(greatest(CASE WHEN event_id % 9 = 0 THEN NULL
-  ELSE value / 50 - 0.1::double END, 0.0::double), 1.0::double), 0.65::double) AS c FROM events)"""
+FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0.65::double
+  ELSE least(greatest(value / 50 - 0.1::double, 0.0::double), 1.0::double) END AS c FROM events)"""
 
 
 def page_quality(t: Tables):

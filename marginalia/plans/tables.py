@@ -248,7 +248,7 @@ class Tables:
             F.concat(F.lit("sheet_"), (F.col("o_custkey") % 25).cast("string")).alias("sheet"),
             F.col("o_custkey").cast("int").alias("row"), month.cast("int").alias("col"),
             F.col("o_orderstatus").alias("fill_sig"),
-        ).distinct()
+        ).groupBy("file_md5", "sheet", "row", "col").agg(F.min("fill_sig").alias("fill_sig"))
 
     def upload_parts(self) -> DataFrame:
         return self.raw("lineitem").filter("l_returnflag <> 'R'").select(
