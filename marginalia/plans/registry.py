@@ -6,7 +6,7 @@ import importlib
 
 from marginalia.plans.tables import Tables
 
-AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets"]
+AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets", "q_evidence"]
 
 
 def _entries() -> dict:
