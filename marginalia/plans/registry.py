@@ -6,7 +6,8 @@ import importlib
 
 from marginalia.plans.tables import Tables
 
-AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets", "q_evidence"]
+AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets", "q_evidence",
+         "q_streaming"]
 
 
 def _entries() -> dict:
