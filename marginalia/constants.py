@@ -8,6 +8,10 @@ from __future__ import annotations
 # --- fixed values: character classes -------------------------------------------------
 # Unicode white space as Python's str.isspace sees it; Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+    + "".join(chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
 HAN = r"\x{3400}-\x{9fff}"
 HIRAGANA = r"\x{3040}-\x{309f}"

@@ -12,7 +12,7 @@ ANY_WORD = f"[{C.CJK}A-Za-z0-9]"
 
 def strip(col: Column) -> Column:
     """Trim Unicode white space at both ends (SQL trim only knows the space)."""
-    return F.regexp_replace(col, rf"\A{C.WS}+|{C.WS}+\z", "")
+    return F.btrim(col, F.lit(C.WS_CHARS))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -20,14 +20,18 @@ def blank_to_null(col: Column) -> Column:
 
 
 def clean_text(col: Column) -> Column:
-    """line ends, blanks, spaces inside CJK runs, blank lines, trim; null becomes ''."""
-    t = F.coalesce(col.cast("string"), F.lit(""))
-    t = F.regexp_replace(t, r"\r\n?", "\n")
+    """line ends, blanks, spaces inside CJK runs, blank lines, trim; null becomes ''.
+
+    Most texts hold nothing to rewrite; one search tells, and only the others run the rules.
+    """
+    raw = F.coalesce(col.cast("string"), F.lit(""))
+    t = F.regexp_replace(raw, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, rf"(?<=[{C.CJK}]){C.WS}+(?=[{C.CJK}])", "")
     t = F.regexp_replace(t, rf"(?<=[{C.CJK}]){C.WS}*\|{C.WS}*(?=[{C.CJK}])", "")
     t = F.regexp_replace(t, rf"\n{C.WS}*\n{C.WS}*\n+", "\n\n")
-    return strip(t)
+    untidy = raw.rlike(rf"[\r\t{C.CJK}]|  |\n{C.WS}*\n")
+    return strip(F.when(untidy, t).otherwise(raw))
 
 
 def collapse_ws(col: Column) -> Column:

@@ -12,16 +12,16 @@ from marginalia.functions import text as X
 from marginalia.plans.sequence import carry_forward, ordered_concat, running_count, top_rows, with_halo
 
 
-def _filled(c: Column) -> Column:
+def filled(c: Column) -> Column:
     return X.blank_to_null(X.clean_text(c))
 
 
 def document_unit(
     file_type: Column, kind: Column, page: Column, sheet: Column, section: Column, block_index: Column
 ) -> Column:
-    """struct(unit_type, unit_key, unit_name, unit_order)."""
+    """struct(unit_type, unit_key, unit_name, unit_order); sheet and section are null where blank."""
     ft, bt = F.lower(X.strip(F.coalesce(file_type, F.lit("")))), F.lower(X.strip(F.coalesce(kind, F.lit(""))))
-    sh, se = _filled(sheet), _filled(section)
+    sh, se = sheet, section
 
     def unit(kind_name, name, order=None, key_name=None):
         key = F.concat(F.lit(f"{kind_name}:"), key_name if key_name is not None else name)
@@ -48,23 +48,21 @@ def document_unit(
 
 
 def block_quality(b: dict[str, Column]) -> Column:
-    """struct(score, flags) from the parts of a block.
+    """struct(score, flags) from the parts of a block; text is clean, blank places are null.
 
     Points are added per rule; `flags` keeps the order: text, locator, image, then the kind's own.
     """
     kind = F.lower(X.strip(F.coalesce(b["type"], F.lit(""))))
     parser = F.lower(X.strip(F.coalesce(b["source_parser"], F.lit(""))))
-    text = X.clean_text(b["text"])
+    text = b["text"]
     has_row = F.coalesce(F.size(b["row_json"]) > 0, F.lit(False))
     row = b["row_json"]
     has_text = text != ""
-    located = (
-        _filled(b["sheet"]).isNotNull() | _filled(b["section"]).isNotNull() | b["page"].isNotNull()
-    )
-    has_image = _filled(b["image_path"]).isNotNull()
+    located = b["sheet"].isNotNull() | b["section"].isNotNull() | b["page"].isNotNull()
+    has_image = b["image_path"].isNotNull()
 
     def field(name):
-        return F.when(has_row, _filled(row[name]))
+        return F.when(has_row, filled(row[name]))
 
     def pts(cond, n):
         return F.when(cond, n).otherwise(0)
@@ -115,22 +113,27 @@ def block_quality(b: dict[str, Column]) -> Column:
     return F.struct(score.cast("int").alias("score"), flags.alias("flags"))
 
 
-BLOCK_FIELDS = ["type", "source_parser", "text", "row_json", "sheet", "section", "page", "image_path"]
-
-
 def enrich(blocks: DataFrame) -> DataFrame:
-    """Unit and quality columns for every block; no shuffle."""
+    """Unit and quality columns for every block; no shuffle.
+
+    Texts are cleaned once, in a projection of their own, because the rules use them many times.
+    """
     c = F.col
-    unit = document_unit(c("file_type"), c("type"), c("page"), c("sheet"), c("section"), c("block_index"))
-    quality = block_quality({f: c(f) for f in BLOCK_FIELDS})
-    return blocks.withColumns({"_u": unit, "_q": quality}).select(
+    tidy = blocks.withColumns({
+        "_text": X.clean_text(c("text")), "_sheet": filled(c("sheet")), "_section": filled(c("section")),
+        "_image": filled(c("image_path")),
+    })
+    unit = document_unit(c("file_type"), c("type"), c("page"), c("_sheet"), c("_section"), c("block_index"))
+    quality = block_quality({
+        "type": c("type"), "source_parser": c("source_parser"), "text": c("_text"), "row_json": c("row_json"),
+        "sheet": c("_sheet"), "section": c("_section"), "page": c("page"), "image_path": c("_image"),
+    })
+    scored = tidy.withColumns({"_u": unit, "_q": quality}).select(
         *blocks.columns,
         *[c(f"_u.{n}").alias(f"document_{n}") for n in ("unit_type", "unit_key", "unit_name", "unit_order")],
-        c("_q.score").alias("quality_score"),
-        X.quality_tier(c("_q.score")).alias("quality_status"),
-        c("_q.flags").alias("validation_flags"),
-        c("_q.score").alias("parser_confidence"),
+        c("_q.score").alias("quality_score"), c("_q.flags").alias("validation_flags"),
     )
+    return scored.withColumns({"quality_status": X.quality_tier(c("quality_score")), "parser_confidence": c("quality_score")})
 
 
 def parent_chunks(blocks: DataFrame) -> DataFrame:
@@ -337,7 +340,7 @@ def chunk_sources(chunks: DataFrame) -> DataFrame:
         "file_md5", "chunk_id", F.col("image_path").alias("_chunk_image"),
         F.posexplode("sources").alias("source_order", "s"),
     )
-    image = F.coalesce(_filled(F.col("s.image_path")), _filled(F.col("_chunk_image")))
+    image = F.coalesce(filled(F.col("s.image_path")), filled(F.col("_chunk_image")))
     vision = F.coalesce("s.source_parser", F.lit("")).isin(C.VISION_PARSERS)
     return rows.filter(~vision | image.isNotNull()).select(
         "file_md5", "chunk_id", "source_order", "s.block_index", "s.source_type", "s.source_parser",

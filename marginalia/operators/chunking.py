@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,52 +51,69 @@ def _max_blocks(size: int) -> int:
     return size // 3 + 2
 
 
-def _next_starts(length: np.ndarray, sheet: np.ndarray, xlsx: np.ndarray, size: int) -> np.ndarray:
-    """For every block, where the next chunk starts if a chunk starts here."""
+def _next_starts(length: np.ndarray, sheet: np.ndarray, xlsx: np.ndarray, group_end: np.ndarray, size: int) -> np.ndarray:
+    """For every block, where the next chunk starts if a chunk starts here; never past its group."""
     n = len(length)
+    here = np.arange(n)
     ends = np.concatenate([[0], np.cumsum(length + 2)])
     nxt = np.searchsorted(ends, ends[:-1] + size + 2, side="right") - 1
-    here = np.arange(n)
-    nxt = np.maximum(nxt, here + 1)
     long_at = length > 2 * size
-    barrier = np.full(n + 1, n, dtype=np.int64)
-    differs = np.full(n + 1, n, dtype=np.int64)
-    named = n  # nearest block at or after i with a sheet name
-    named_at = np.full(n + 1, n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        barrier[i] = i if long_at[i] else barrier[i + 1]
-        if sheet[i] and xlsx[i]:
-            differs[i] = n if named == n else (named if sheet[named] != sheet[i] else differs[named])
-            named = i
-        named_at[i] = named
-    by_sheet = np.where(named_at[:-1] < n, differs[np.minimum(named_at[:-1], n)], n)
-    nxt = np.minimum(np.minimum(nxt, barrier[1:]), by_sheet)
+    longs = np.flatnonzero(long_at)
+    after = np.append(longs, n)[np.searchsorted(longs, here, side="right")]
+    nxt = np.minimum(np.minimum(np.maximum(nxt, here + 1), after), group_end)
+    named = np.flatnonzero((sheet != "") & xlsx)
+    if len(named):
+        # the sheet of a chunk is that of its first named block; it ends at the next other name
+        change = np.flatnonzero(sheet[named][1:] != sheet[named][:-1]) + 1
+        run_end = np.append(named[change], n)[np.searchsorted(change, np.arange(len(named)), side="right")]
+        first = np.searchsorted(named, here, side="left")
+        nxt = np.minimum(nxt, np.append(run_end, n)[first])
     return np.where(long_at, here + 1, np.maximum(nxt, here + 1))
 
 
-def _segment_arrays(pdf: pd.DataFrame, size: int):
-    pdf = pdf.sort_values("pos")
-    starts = _next_starts(
+def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of rows sorted by (file, segment, pos) as whole groups with their bounds."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        f, s = pdf["file_md5"].to_numpy(object), pdf["seg"].to_numpy()
+        cuts = np.flatnonzero((f[1:] != f[:-1]) | (s[1:] != s[:-1])) + 1
+        if len(cuts):
+            yield pdf.iloc[: cuts[-1]], np.concatenate([[0], cuts])
+            rest = pdf.iloc[cuts[-1]:].reset_index(drop=True)
+        else:
+            rest = pdf
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def _starts_of(pdf: pd.DataFrame, bounds: np.ndarray, size: int) -> np.ndarray:
+    group_end = np.repeat(bounds[1:], np.diff(bounds))
+    return _next_starts(
         pdf["n_chars"].to_numpy(np.int64), pdf["sheet"].fillna("").to_numpy(object),
-        pdf["is_xlsx"].to_numpy(bool), size,
+        pdf["is_xlsx"].to_numpy(bool), group_end, size,
     )
-    return pdf, int(pdf["own"].sum()), starts
 
 
 def _exits(size: int):
     width = _max_blocks(size)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own, nxt = _segment_arrays(pdf, size)
-        out = np.zeros(own, dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            out[i] = nxt[i] - own if nxt[i] >= own else out[nxt[i]]
-        table = np.arange(width) - own
-        k = min(own, width)
-        table[:k] = out[:k]
-        return pd.DataFrame(
-            {"file_md5": [pdf["file_md5"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "exits": [np.maximum(table, 0).tolist()]}
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _grouped(frames):
+            nxt, own = _starts_of(pdf, bounds, size), pdf["own"].to_numpy(bool)
+            rows = []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                stop = lo + int(own[lo:hi].sum())
+                out = np.zeros(stop - lo, dtype=np.int64)
+                for i in range(stop - 1, lo - 1, -1):
+                    out[i - lo] = nxt[i] - stop if nxt[i] >= stop else out[nxt[i] - lo]
+                table = np.zeros(width, dtype=np.int64)
+                k = min(len(out), width)
+                table[:k] = out[:k]
+                rows.append((pdf["file_md5"].iat[lo], int(pdf["seg"].iat[lo]), table.tolist()))
+            yield pd.DataFrame(rows, columns=["file_md5", "seg", "exits"])
 
     return run
 
@@ -111,40 +128,60 @@ def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _assign(size: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own, nxt = _segment_arrays(pdf, size)
-        entry = int(pdf["entry"].iloc[0])
-        start = np.full(len(pdf), -1, dtype=np.int64)
-        i = entry
-        while i < own:
-            stop = int(nxt[i])
-            start[i:stop] = i
-            i = stop
-        index = pdf["block_index"].to_numpy()
-        mine = start >= 0
-        return pd.DataFrame(
-            {"file_md5": pdf["file_md5"][mine], "block_index": index[mine], "chunk_start": index[start[mine]]}
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _grouped(frames):
+            nxt, own = _starts_of(pdf, bounds, size), pdf["own"].to_numpy(bool)
+            entry = pdf["entry"].to_numpy(np.int64)
+            start = np.full(len(pdf), -1, dtype=np.int64)
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                i = lo + entry[lo]
+                while i < hi and own[i]:
+                    stop = nxt[i]
+                    start[i:stop] = i
+                    i = stop
+            index, mine = pdf["block_index"].to_numpy(), start >= 0
+            yield pd.DataFrame(
+                {"file_md5": pdf["file_md5"].to_numpy(object)[mine], "block_index": index[mine],
+                 "chunk_start": index[start[mine]], "n_pieces": pdf["n_pieces"].to_numpy()[mine]}
+            )
 
     return run
 
 
-def chunk_starts(blocks: DataFrame, size: int = C.CHUNK_SIZE, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
-    """(file_md5, block_index, chunk_start): the first block of the chunk a block goes into."""
+def chunk_starts(
+    blocks: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, segment_blocks: int = SEGMENT_BLOCKS
+) -> DataFrame:
+    """(file_md5, block_index, chunk_start, first_id): the chunk a block goes into.
+
+    `chunk_start` is the first block of the chunk, `first_id` the chunk id of its (first) piece.
+    """
     narrow = blocks.select(
-        "file_md5", F.col("block_index").cast("long").alias("block_index"),
-        F.length(clean_text(F.col("text"))).alias("n_chars"), "sheet",
+        "file_md5", F.col("block_index").cast("long").alias("block_index"), clean_text(F.col("text")).alias("_t"), "sheet",
         (F.lower(F.coalesce("file_type", F.lit(""))) == "xlsx").alias("is_xlsx"),
+    ).select(
+        "file_md5", "block_index", "sheet", "is_xlsx", F.length("_t").alias("n_chars"),
+        F.when(F.length("_t") > 2 * size, F.size(window_pieces(F.col("_t"), size, overlap))).otherwise(1).alias("n_pieces"),
     ).filter("n_chars > 0")
     narrow = running_count(narrow, ["file_md5"], "block_index", F.lit(1), "pos", segment_blocks)
     narrow = with_halo(narrow.withColumn("pos", F.col("pos") - 1), "pos", 0, _max_blocks(size), segment_blocks)
-    exits = narrow.groupBy("file_md5", "seg").applyInPandas(_exits(size), "file_md5 string, seg long, exits array<int>")
+
+    def placed(df):
+        return df.repartition("file_md5", "seg").sortWithinPartitions("file_md5", "seg", "pos")
+
+    # the first segment of a file starts a chunk at its first block; only longer files need entries
+    longer = narrow.filter("own and seg > 0").select("file_md5").distinct()
+    exits = placed(narrow.join(longer, "file_md5", "left_semi")).mapInPandas(
+        _exits(size), "file_md5 string, seg long, exits array<int>"
+    )
     entries = exits.groupBy("file_md5").applyInPandas(_entries, "file_md5 string, seg long, entry int")
-    return (
-        narrow.join(entries, ["file_md5", "seg"])
-        .groupBy("file_md5", "seg")
-        .applyInPandas(_assign(size), "file_md5 string, block_index long, chunk_start long")
+    ready = narrow.join(entries, ["file_md5", "seg"], "left").fillna(0, ["entry"])
+    starts = placed(ready).mapInPandas(
+        _assign(size), "file_md5 string, block_index long, chunk_start long, n_pieces int"
     )
+    heads = starts.filter("block_index = chunk_start").select("file_md5", "chunk_start", "n_pieces")
+    ids = running_count(heads, ["file_md5"], "chunk_start", F.col("n_pieces"), "_upto", segment_blocks)
+    ids = ids.select("file_md5", "chunk_start", (F.col("_upto") - F.col("n_pieces")).alias("first_id"))
+    return starts.drop("n_pieces").join(ids, ["file_md5", "chunk_start"])
 
 
 def pack_blocks(
@@ -153,44 +190,41 @@ def pack_blocks(
 ) -> DataFrame:
     """Enriched blocks to chunks with merged metadata and their source list."""
     body = blocks.withColumn("text", clean_text(F.col("text"))).filter(F.col("text") != "")
-    placed = body.join(chunk_starts(blocks, size, segment_blocks), ["file_md5", "block_index"])
-
-    def first(name):
-        value = F.when(F.col(name).cast("string") != "", F.col(name))
-        return F.min_by(value, F.when(value.isNotNull(), F.col("block_index"))).alias(name)
-
+    placed = body.join(chunk_starts(blocks, size, overlap, segment_blocks), ["file_md5", "block_index"])
     source = F.struct(
         "block_index", F.col("type").alias("source_type"), "source_parser", "sheet", "page", "section",
-        "image_path", F.left("text", F.lit(C.PREVIEW_CHARS)).alias("text_preview"), "document_unit_key",
-        "quality_status", "text",
+        "image_path", "document_unit_key", "quality_status", "text", "document_unit_type",
+        "document_unit_name", "quality_score", "file_type",
     )
-    packed = placed.groupBy("file_md5", "chunk_start").agg(
-        F.array_sort(F.collect_list(source)).alias("s"),
-        F.count_distinct("type").alias("_kinds"), F.min_by("type", "block_index").alias("_kind"),
-        F.min_by("source_parser", "block_index").alias("source_parser"), F.min_by("file_type", "block_index").alias("file_type"),
-        first("page"), first("section"), first("sheet"), first("image_path"),
-        first("document_unit_key"), first("document_unit_type"), first("document_unit_name"),
-        F.max("quality_score").alias("quality_score"),
-        F.when(F.bool_or(F.col("quality_status") == "rejected"), "rejected")
-        .when(F.bool_or(F.col("quality_status") == "weak"), "weak")
-        .otherwise(F.max_by("quality_status", "block_index")).alias("quality_status"),
-    )
-    long_text = (F.size("s") == 1) & (F.length(F.element_at("s", 1)["text"]) > 2 * size)
-    joined = clean_text(F.array_join(F.col("s.text"), "\n\n"))
+    packed = placed.groupBy("file_md5", "chunk_start", "first_id").agg(F.array_sort(F.collect_list(source)).alias("s"))
+    packed = packed.withColumn("_joined", clean_text(F.array_join(F.col("s.text"), "\n\n")))
+    long_text = (F.size("s") == 1) & (F.length("_joined") > 2 * size)
     packed = packed.withColumn(
-        "pieces", F.when(long_text, window_pieces(joined, size, overlap)).otherwise(F.array(joined))
-    ).withColumn("_n", F.size("pieces"))
-    packed = running_count(packed, ["file_md5"], "chunk_start", F.col("_n"), "_upto", segment_blocks)
-    pieces = packed.select("*", F.posexplode("pieces").alias("_i", "text_content"))
-    preview = F.when(F.col("_n") > 1, F.left("text_content", F.lit(C.PREVIEW_CHARS)))
+        "pieces", F.when(long_text, window_pieces(F.col("_joined"), size, overlap)).otherwise(F.array("_joined"))
+    )
+
+    def first(name):
+        """The first non-empty value among the blocks of a chunk."""
+        return F.get(F.filter(F.col(f"s.{name}"), lambda v: F.coalesce(v.cast("string"), F.lit("")) != ""), F.lit(0)).alias(name)
+
+    head, status = F.element_at("s", 1), F.col("s.quality_status")
+    preview = F.when(F.size("pieces") > 1, F.left("text_content", F.lit(C.PREVIEW_CHARS)))
     sources = F.transform(
         "s",
-        lambda s: s.dropFields("text").withField("text_preview", F.coalesce(preview, s["text_preview"])),
+        lambda b: F.struct(
+            b["block_index"], b["source_type"], b["source_parser"], b["sheet"], b["page"], b["section"], b["image_path"],
+            F.coalesce(preview, F.left(b["text"], F.lit(C.PREVIEW_CHARS))).alias("text_preview"),
+            b["document_unit_key"], b["quality_status"],
+        ),
     )
+    pieces = packed.select("*", F.posexplode("pieces").alias("_i", "text_content"))
     return pieces.select(
-        "file_md5", (F.col("_upto") - F.col("_n") + F.col("_i")).cast("int").alias("chunk_id"), "text_content",
-        F.when(F.col("_kinds") > 1, "mixed").otherwise(F.col("_kind")).alias("chunk_type"),
-        "page", "section", "sheet", "image_path", "source_parser", "file_type",
-        "document_unit_key", "document_unit_type", "document_unit_name", "quality_score", "quality_status",
+        "file_md5", (F.col("first_id") + F.col("_i")).cast("int").alias("chunk_id"), "text_content",
+        F.when(F.size(F.array_distinct("s.source_type")) > 1, "mixed").otherwise(head["source_type"]).alias("chunk_type"),
+        first("page"), first("section"), first("sheet"), first("image_path"), head["source_parser"].alias("source_parser"),
+        head["file_type"].alias("file_type"), first("document_unit_key"), first("document_unit_type"),
+        first("document_unit_name"), F.array_max("s.quality_score").alias("quality_score"),
+        F.when(F.array_contains(status, "rejected"), "rejected").when(F.array_contains(status, "weak"), "weak")
+        .otherwise(F.element_at(status, -1)).alias("quality_status"),
         sources.alias("sources"),
     )

@@ -385,7 +385,7 @@ def visual_page_rows(records: DataFrame, units: DataFrame) -> DataFrame:
     keep = [c for c in records.columns if c not in ("file_md5", "storage_path")]
     one = ok.groupBy("file_md5", path.alias("image_path")).agg(F.min_by(F.struct(*keep), "record_no").alias("r")).select("file_md5", "image_path", "r.*")
     sheet, section = (X.blank_to_null(X.clean_text(F.col(c))) for c in ("sheet", "section"))
-    unit = document_unit(F.col("file_type"), F.lit("visual_page"), F.col("page"), F.col("sheet"), F.col("section"), F.lit(0))
+    unit = document_unit(F.col("file_type"), F.lit("visual_page"), F.col("page"), sheet, section, F.lit(0))
     one = one.withColumn("u", unit).withColumn("sheet", sheet).withColumn("section", section)
     label = F.coalesce(
         F.concat(F.lit("sheet:"), "sheet"), F.concat(F.lit("page:"), F.col("page").cast("string")),

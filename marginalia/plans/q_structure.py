@@ -28,7 +28,8 @@ def units(t: Tables):
         F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit(" s"), F.col("l_suppkey") % 7)).alias("sheet"),
         F.when(F.col("l_suppkey") % 5 == 0, F.col("l_linestatus")).alias("section"),
     )
-    u = B.document_unit(*[F.col(c) for c in ("file_type", "type", "page", "sheet", "section", "block_index")])
+    c = F.col
+    u = B.document_unit(c("file_type"), c("type"), c("page"), B.filled(c("sheet")), B.filled(c("section")), c("block_index"))
     d = e.select(u.alias("u")).select("u.*")
     return d.groupBy("unit_type", "unit_key", "unit_name", "unit_order").agg(F.count("*").alias("n"))
 
