@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-KEYWORD_LIMIT = 4_000
+FEW_TERMS = 64
+MANY_TERMS = 100_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -42,20 +46,52 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
-def contains_matches(
-    texts: DataFrame, text: Column, terms: DataFrame, limit: int = KEYWORD_LIMIT
-) -> DataFrame:
-    """Rows of `texts` with every `term` that occurs in their text (one row per match).
+def _automaton_matches(texts: DataFrame, text: Column, terms: list[str], keep: list[str]) -> DataFrame:
+    """All terms of a bounded list in one pass over each text (Aho-Corasick per Arrow batch)."""
+    full = texts.select(*keep, text.alias("_text"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in full.dtypes if n != "_text") + ", term string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for term in terms:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for pdf in frames:
+            found = [sorted({t for _, t in automaton.iter(v)}) if v else [] for v in pdf["_text"]]
+            yield pdf[keep].assign(term=found).explode("term").dropna(subset=["term"])
+
+    return full.mapInPandas(run, schema)
 
-    Few terms travel to each row as one array. Many terms meet the text through an equi join on
-    their first letters (three, or all of a shorter term), and only those pairs are verified.
+
+def contains_matches(texts: DataFrame, text: Column, terms: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Rows of `texts` (their columns `keep`) with every `term` that occurs in their text.
+
+    A few terms travel to each row as one array; more terms, up to a checked bound, as one automaton
+    per task. Beyond the bound terms meet the text through an equi join on their first letters
+    (three, or all of a shorter term), and only those pairs are verified.
     """
+    keep = keep or texts.columns
     terms = terms.select("term").filter(F.length("term") > 0).distinct()
-    if is_small(terms, limit):
-        known = F.coalesce(terms.agg(F.collect_list("term").alias("a")).scalar(), F.array().cast("array<string>"))
-        return texts.withColumns({"_text": text, "_known": known}).withColumn(
-            "term", F.explode(F.filter("_known", lambda t: F.contains(F.col("_text"), t)))
-        ).drop("_text", "_known")
+    head = [r[0] for r in terms.limit(MANY_TERMS + 1).collect()]
+    if len(head) <= FEW_TERMS:
+        known = F.array(*[F.lit(t) for t in sorted(head)]) if head else F.array().cast("array<string>")
+        return texts.select(*keep, text.alias("_text")).select(
+            *keep, F.explode(F.filter(known, lambda t: F.contains(F.col("_text"), t))).alias("term")
+        )
+    try:
+        import ahocorasick  # noqa: F401
+
+        if len(head) <= MANY_TERMS:
+            return _automaton_matches(texts, text, head, keep)
+    except ImportError:
+        pass
+    return gram_matches(texts, text, terms).select(*keep, "term")
+
+
+def gram_matches(texts: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
+    """`contains_matches` for any number of terms, by an equi join on first letters."""
     keyed = terms.withColumn("_gram", F.left("term", F.lit(3)))
     grams = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in (1, 2, 3)]))
     return (

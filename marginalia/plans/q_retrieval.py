@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
@@ -10,6 +12,7 @@ from marginalia.operators import acl, evaluation, retrieval as R, vectors as V
 from marginalia.plans.oracle import sql_list, with_tables
 from marginalia.plans.q_access import users_with_tokens
 from marginalia.plans.tables import Tables
+from marginalia.session import stored
 
 TOP_K = 10
 
@@ -20,10 +23,6 @@ class Search:
     def __init__(self, t: Tables):
         self.t = t
         self.ancestors = acl.tag_ancestors(t.org_tags())
-        none = F.lit(None).cast("string")
-        self.chunks = acl.with_file_tokens(t.chunks(), self.ancestors).withColumns(
-            {"sheet": none, "section": none, "row_order": F.col("doc_id") * 100000 + F.col("chunk_id")}
-        )
         self.vectors = acl.with_file_tokens(t.chunk_vectors(), self.ancestors)
         self.weights = R.channel_weights(t.spark.createDataFrame(C.PROFILES, C.PROFILE_FIELDS))
         vec = t.raw("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -34,6 +33,15 @@ class Search:
         )
         self.quality = t.child_quality()
 
+    @cached_property
+    def chunks(self):
+        """The chunk index, built once and read by every channel."""
+        none = F.lit(None).cast("string")
+        rows = acl.with_file_tokens(self.t.chunks(), self.ancestors).withColumns(
+            {"sheet": none, "section": none, "row_order": F.col("doc_id") * 100000 + F.col("chunk_id")}
+        )
+        return stored(R.index_columns(rows), "chunk-index")
+
 
 def vocabulary(t: Tables):
     return R.vocabulary(t.chunks())

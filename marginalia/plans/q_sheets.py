@@ -9,6 +9,7 @@ from marginalia.functions import text as X
 from marginalia.operators import analyses as A, blocks as B, pages as P, sheets as S
 from marginalia.plans.oracle import clean, has_any, with_tables
 from marginalia.plans.tables import Tables
+from marginalia.session import stored
 
 KEY = ["file_md5", "sheet"]
 
@@ -128,7 +129,7 @@ def fills(t: Tables):
 
 
 def schedule(t: Tables):
-    return S.schedule_blocks(S.schedule_rows(gantt(t))).select(*KEY, "row_no", "text", F.size("row_json").alias("n_fields"))
+    return S.schedule_blocks(S.schedule_rows(stored(gantt(t), "cells"))).select(*KEY, "row_no", "text", F.size("row_json").alias("n_fields"))
 
 
 def anchors(t: Tables):
@@ -138,7 +139,7 @@ def anchors(t: Tables):
         F.md5((k % 25).cast("string")).alias("file_md5"), F.concat(F.lit("g"), k % 25).alias("sheet"), (F.floor(k / 25) + 4).cast("int").alias("row"),
         (start - 3).alias("start_col"), (start + F.col("o_orderkey").cast("int") % 9).alias("end_col"), F.col("o_orderkey").alias("anchor_no"),
     )
-    return S.schedule_from_anchors(gantt(t), bars).select(*KEY, "row_no", "task", "start_col", "end_col", "start_label", "end_label")
+    return S.schedule_from_anchors(stored(gantt(t), "cells"), bars).select(*KEY, "row_no", "task", "start_col", "end_col", "start_label", "end_label")
 
 
 ANCHOR_SQL = with_tables("""SELECT b.file_md5, b.sheet, b."row" AS row_no, task, a AS start_col, e AS end_col, coalesce(s.label, 'C' || a) AS start_label, coalesce(f.label, 'C' || e) AS end_label
