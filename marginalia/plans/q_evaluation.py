@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia import constants as C
 from marginalia.operators import evaluation as E
 from marginalia.plans.oracle import with_tables
 from marginalia.plans.tables import Tables
@@ -176,6 +177,41 @@ def chunk_files(t: Tables):
     ).filter("kb_profile <> 'policy'")
 
 
+def part_rows(t: Tables):
+    """Rows of readable files only, with their file and decoded payload."""
+    mine = t.raw("labels").filter("quality = 1").select(F.md5(F.col("doc_id").cast("string")).alias("file_md5"))
+    rows = t.raw("part").select(
+        F.md5((F.col("p_partkey") % 500).cast("string")).alias("file_md5"), F.col("p_partkey").alias("row_no"),
+        F.to_json(F.struct(F.col("p_name").alias("task"), F.col("p_size").alias("confidence"))).alias("row_json"))
+    found = rows.join(mine, "file_md5", "left_semi").join(t.files().select("file_md5", "file_name", "kb_profile"), "file_md5")
+    p = F.from_json("row_json", "task string, confidence double")
+    return found.withColumn("p", p).select("file_md5", "row_no", "file_name", "kb_profile", "p.task", "p.confidence")
+
+
+def overridden(t: Tables):
+    """File name and profile of the registry where there is one, else what the hit says."""
+    hits = t.raw("part").select(F.md5((F.col("p_partkey") % 1300).cast("string")).alias("file_md5"), "p_partkey", F.col("p_name").alias("file_name"), F.col("p_type").alias("kb_profile"))
+    f = t.files().select("file_md5", F.col("file_name").alias("_n"), F.col("kb_profile").alias("_p"))
+    return hits.join(f, "file_md5", "left").select("p_partkey", F.coalesce("_n", "file_name").alias("file_name"), F.coalesce("_p", "kb_profile").alias("kb_profile"))
+
+
+def sorted_detail(t: Tables, asked: int = 900):
+    """Several keys with nulls last, and the limit clamped to 1..500."""
+    rows = t.raw("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("page"), "o_orderpriority")
+    return rows.orderBy(F.col("o_orderpriority").asc_nulls_last(), F.col("page").asc_nulls_last(), "o_orderkey").limit(max(1, min(asked, 500)))
+
+
+def profile_parameters(t: Tables):
+    """The parameters of a file's profile, legacy and unknown names mapped first."""
+    legacy = F.create_map(*[F.lit(x) for kv in C.LEGACY_PROFILES.items() for x in kv])
+    named = F.when(F.col("doc_id") % 6 == 0, "resume").when(F.col("doc_id") % 6 == 1, "legal").when(F.col("doc_id") % 6 == 2, "nothing")
+    f = t.raw("documents").select("doc_id", F.coalesce(named, t.file_columns()["kb_profile"]).alias("given"))
+    known = [p[0] for p in C.PROFILES]
+    f = f.withColumn("profile_id", F.when(F.col("given").isin(known), F.col("given")).otherwise(F.coalesce(legacy[F.col("given")], F.lit(C.DEFAULT_PROFILE))))
+    prof = t.spark.createDataFrame(C.PROFILES, C.PROFILE_FIELDS)
+    return f.join(F.broadcast(prof), "profile_id").select("doc_id", "profile_id", "chunk_size", "chunk_overlap", "ocr_min_chars", "ocr_max_pages", "enable_relation_index")
+
+
 _WIN = "usage_events WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY"
 
 QUERIES = {
@@ -221,6 +257,16 @@ QUERIES = {
     "a24_j19_conversations": (conv_list, with_tables("""SELECT conversation_id, count(*) AS message_count, max(ts) AS last_message_time,
       bool_or(role = 'system') AS archived FROM messages GROUP BY 1""")),
     "s09_case_lines": (case_lines, CASES_SQL),
+    "j02_j11_rows_of_files": (part_rows, with_tables("""SELECT f.file_md5, p_partkey AS row_no, file_name, kb_profile, p_name AS task, p_size::double AS confidence FROM part
+      JOIN files f ON f.doc_id = p_partkey % 500 WHERE f.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")),
+    "j04_file_override": (overridden, with_tables("""SELECT p_partkey, coalesce(file_name, p_name) AS file_name, coalesce(kb_profile, p_type) AS kb_profile
+      FROM part LEFT JOIN files ON doc_id = p_partkey % 1300""")),
+    "t01_t02_sorted_detail": (sorted_detail, """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS page, o_orderpriority FROM orders
+      ORDER BY o_orderpriority NULLS LAST, page NULLS LAST, o_orderkey LIMIT 500"""),
+    "c09_profile_parameters": (profile_parameters, """SELECT doc_id, profile_id, CASE profile_id WHEN 'design' THEN 1100 WHEN 'policy' THEN 950 ELSE 900 END AS chunk_size,
+      CASE profile_id WHEN 'design' THEN 150 WHEN 'policy' THEN 140 ELSE 120 END AS chunk_overlap, CASE profile_id WHEN 'design' THEN 100 WHEN 'policy' THEN 80 ELSE 70 END AS ocr_min_chars,
+      CASE profile_id WHEN 'design' THEN 25 WHEN 'policy' THEN 15 ELSE 12 END AS ocr_max_pages, profile_id <> 'policy' AS enable_relation_index
+      FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'general' WHEN 1 THEN 'policy' WHEN 2 THEN 'general' ELSE ['general','design','policy','ops'][doc_id % 4 + 1] END AS profile_id FROM documents)"""),
     "j01_rows_with_files": (chunk_files, with_tables("""SELECT f.file_md5, p_partkey, p_size, file_name, kb_profile
       FROM part JOIN files f ON f.doc_id = p_partkey % 300 WHERE kb_profile <> 'policy'""")),
 }
