@@ -319,7 +319,8 @@ def page_routing(pages: DataFrame, profiles: DataFrame) -> DataFrame:
     ratio = p.groupBy("file_md5").agg(F.avg(F.col("weak").cast("double")).alias("weak_ratio"))
     p = p.join(ratio, "file_md5").withColumn("forced", F.col("weak_ratio") >= F.col("ocr_doc_trigger_ratio"))
     p = p.withColumn("wants_ocr", F.col("forced") | F.col("weak"))
-    chosen = top_rows(p.filter("wants_ocr"), ["file_md5"], [F.col("page")], F.col("ocr_max_pages"), "_r")
+    budget = profiles.agg(F.max("ocr_max_pages")).first()[0]
+    chosen = top_rows(p.filter("wants_ocr"), ["file_md5"], [F.col("page")], F.col("ocr_max_pages"), "_r", budget)
     chosen = chosen.select("file_md5", "page", F.lit(True).alias("ocr"))
     return (
         p.join(chosen, ["file_md5", "page"], "left")

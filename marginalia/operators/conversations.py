@@ -100,7 +100,7 @@ def recent_items(items: DataFrame, readable: DataFrame, top_n: Column | int, as_
     few = top_rows(items, ["file_md5"], order, 20, "_r").drop("_r")
     n = F.least(F.greatest(F.lit(top_n) if isinstance(top_n, int) else top_n, F.lit(1)), F.lit(20))
     seen = readable.join(few, "file_md5").withColumn("_n", n)
-    best = top_rows(seen, ["user_id"], order, F.col("_n")).drop("_n")
+    best = top_rows(seen, ["user_id"], order, F.col("_n"), at_most=20).drop("_n")
     text = F.concat(
         F.lit(f"{C.TIMELINE_MARK} 项目: "), "project_name", F.lit(" ; 期间: "), F.coalesce("period_text", F.lit("")), F.lit(" ; 角色: "),
         F.coalesce(X.blank_to_null(F.col("role_summary")), F.lit(C.UNKNOWN_ROLE)),

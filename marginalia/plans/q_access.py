@@ -120,10 +120,9 @@ def tag_options(t: Tables):
 def user_pages(t: Tables, page: int = 3, size: int = 20):
     """One page of a listing with its total; the order is total, so pages are stable."""
     base = t.raw("customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_acctbal")
-    total = base.agg(F.count("*").alias("total"))
+    total = base.agg(F.count("*").alias("total")).scalar()
     rows = base.orderBy(F.col("c_acctbal").desc(), "c_custkey").offset((page - 1) * size).limit(size)
-    pages = F.ceil(F.col("total") / size)
-    return rows.join(F.broadcast(total)).withColumn("pages", pages)
+    return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def ownership(t: Tables):

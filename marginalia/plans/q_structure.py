@@ -9,6 +9,7 @@ from marginalia.functions import text as X
 from marginalia.operators import blocks as B
 from marginalia.operators import chunking as K
 from marginalia.plans.oracle import clean, has_any, with_tables
+from marginalia.plans.q_text import preview_sql
 from marginalia.plans.sequence import ordered_concat
 from marginalia.plans.tables import Tables
 
@@ -149,6 +150,13 @@ def sources(t: Tables):
     )
 
 
+_X = "left(CASE WHEN len(ps) > 1 THEN piece ELSE ct END, 500)"
+SOURCES_SQL = with_tables(f"""SELECT r.file_md5, chunk_id, row_number() OVER (PARTITION BY r.file_md5, chunk_id ORDER BY pos) - 1 AS source_order, block_index, type AS source_type,
+  md5(left(CASE WHEN type LIKE '%row%' THEN {preview_sql(_X)} ELSE {clean(_X)} END, 500)) AS preview_md5
+FROM (SELECT *, (row_number() OVER (PARTITION BY file_md5 ORDER BY start, i) - 1)::int AS chunk_id FROM rows_) r
+JOIN (SELECT file_md5, block_index, type, ct, pos, start FROM body JOIN pack USING (file_md5, pos)) b ON b.file_md5 = r.file_md5 AND b.start = r.start""", PACK_STEPS)
+
+
 def parser_use(t: Tables):
     return B.parser_counts(B.chunk_sources(K.pack_blocks(all_blocks(t))))
 
@@ -252,7 +260,7 @@ QUERIES = {
     "c01_packed_chunks": (packed, PACKED_SQL),
     "c02_window_chunks": (windows, with_tables("SELECT file_md5, chunk_id, length(text_content) AS n_chars, md5(text_content) AS text_md5 FROM chunks")),
     "w01_j10_child_chunks": (children, CHILD_SQL),
-    "r20_chunk_sources": (sources, None),
+    "r20_chunk_sources": (sources, SOURCES_SQL),
     "a21_parser_counts": (parser_use, with_tables("SELECT file_md5, parser AS source_parser, count(*) AS n FROM scored JOIN mult USING (file_md5, block_index) GROUP BY 1, 2", {
         **PACK_STEPS, "mult": "SELECT file_md5, block_index FROM body JOIN pack USING (file_md5, pos) JOIN rows_ r USING (file_md5, start)"})),
     "a13_block_routing": (routing, ROUTING_SQL),

@@ -36,7 +36,7 @@ def clean_preview(t: Tables):
     return parts.unionByName(lines)
 
 
-def _preview_sql(expr: str) -> str:
+def preview_sql(expr: str) -> str:
     e = clean(expr)
     for pattern, by in (
         (r"(?:(?:^|\||;)\s*col_\d+\s*:?\s*)", " | "), (r"\|\s*\|+", "|"), (r";\s*;+", ";"),
@@ -49,10 +49,10 @@ def _preview_sql(expr: str) -> str:
 
 _NOISY = "'col_' || p_size || ': | ' || p_name || ' ;; ' || p_brand || ' | | col_2 : ' || p_type || ' ; '"
 CLEAN_PREVIEW_SQL = with_tables(f"""
-SELECT 'p' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN {clean(_NOISY)} ELSE {_preview_sql(_NOISY)} END AS preview
+SELECT 'p' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN {clean(_NOISY)} ELSE {preview_sql(_NOISY)} END AS preview
 FROM part UNION ALL
 SELECT 'b_' || doc_id || '_' || block_index, md5(CASE WHEN regexp_matches(p, '[A-Za-z0-9]') THEN p ELSE '' END)
-FROM (SELECT doc_id, block_index, {_preview_sql('text')} AS p FROM blocks)""")
+FROM (SELECT doc_id, block_index, {preview_sql('text')} AS p FROM blocks)""")
 
 
 def truncate(t: Tables):

@@ -96,7 +96,15 @@ def ordered_concat(
     )
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, out: str = "rank") -> DataFrame:
-    """The first k rows per key with their rank; Spark cuts per map task before the shuffle."""
+def top_rows(
+    df: DataFrame, keys: list[str], order: list[Column], k: int | Column, out: str = "rank", at_most: int | None = None
+) -> DataFrame:
+    """The first k rows per key with their rank; Spark cuts per map task before the shuffle.
+
+    That early cut needs a number: where k is a column, `at_most` is the largest k there can be.
+    """
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(w))
+    if at_most is not None:
+        ranked = ranked.filter(F.col(out) <= at_most)
+    return ranked.filter(F.col(out) <= k)
