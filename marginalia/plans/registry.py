@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 from marginalia.plans.tables import Tables
+from marginalia.session import ship
 
 AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets", "q_evidence",
          "q_streaming"]
@@ -21,7 +22,11 @@ def _entries() -> dict:
 
 
 def _runner(fn):
-    return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+    def run(spark, sf_dir):
+        ship(spark)
+        return fn(Tables(spark, sf_dir))
+
+    return run
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,22 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g") ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, wherever the driver was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_marginalia_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "marginalia.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._marginalia_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
