@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, sharding
+from marginalia.llm import bpe, secret_scan, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op4_stratified_shards": sharding.op4,
+        "op5_guess_cost_secrets": secret_scan.op5,
         "op6_byte_bpe": bpe.op6,
+        "op9_counterfactual_toxicity": toxicity.op9,
     }
 
 
