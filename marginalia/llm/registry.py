@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, secret_scan, sharding, toxicity
+from marginalia.llm import bpe, secret_scan, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": warc.op3,
         "op4_stratified_shards": sharding.op4,
         "op5_guess_cost_secrets": secret_scan.op5,
         "op6_byte_bpe": bpe.op6,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.SQL}

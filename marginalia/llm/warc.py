@@ -231,7 +231,7 @@ SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT *, octet_length(body) AS payload_bytes, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_aggregate(list_transform(range(0, 5), j ->
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_aggregate(list_transform(range(0, 5), lambda j:
            ((strpos('0123456789abcdef', substr(hex, 1 + CAST((5 * i + j) // 4 AS INT), 1)) - 1) >> (3 - ((5 * i + j) % 4))::INT) % 2 * (16 >> j::INT)), 'sum') AS INT), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to, url
