@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, secret_scan, sharding, toxicity, warc
+from marginalia.llm import bpe, decontaminate, secret_scan, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op4_stratified_shards": sharding.op4,
         "op5_guess_cost_secrets": secret_scan.op5,
         "op6_byte_bpe": bpe.op6,
+        "op7_fm_index_decontamination": decontaminate.op7,
         "op9_counterfactual_toxicity": toxicity.op9,
+        "op10_simhash_near_duplicates": simhash.op10,
     }
 
 
