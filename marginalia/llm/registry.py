@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, decontaminate, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, merkle, secret_scan, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_merkle_fingerprints": merkle.op2,
         "op3_warc": warc.op3,
         "op4_stratified_shards": sharding.op4,
         "op5_guess_cost_secrets": secret_scan.op5,
