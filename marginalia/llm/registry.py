@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, decontaminate, merkle, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, merkle, pii, secret_scan, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_guess_cost_secrets": secret_scan.op5,
         "op6_byte_bpe": bpe.op6,
         "op7_fm_index_decontamination": decontaminate.op7,
+        "op8_weak_supervision_pii": pii.op8,
         "op9_counterfactual_toxicity": toxicity.op9,
         "op10_simhash_near_duplicates": simhash.op10,
     }
