@@ -1,12 +1,53 @@
-"""The training-data pipeline: five stages over documents, each written as Parquet and read again."""
+"""The training-data pipeline: five stages over documents, each written as Parquet and read again.
+
+toxicity: documents that the classifier, fitted on the labels, rejects go. near_duplicates: one document of each SimHash
+component stays, the one with the smallest doc_id. decontamination: documents that the contamination rule names go.
+secrets: secret values are masked in the texts (n_chars follows); every document stays. tokens: the rest is encoded, the ids
+are decoded again as proof, and the token table is returned.
+
+A stage gets what the one before kept, works on all of it and returns the columns of documents; only the last returns
+token columns. Null texts pass through as documents without words; empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marginalia.llm import bpe, decontaminate, secret_scan, simhash, toxicity
 from marginalia.session import scratch
 
-STAGES: list = []
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.first_of_group(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, with_ids=True, keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("tokens", tokens),
+]
+
+#: A trained classifier, XXH64 and BPE merges have no SQL; tests/llm compares with a plain version.
 ORACLE_SQL = None
 
 

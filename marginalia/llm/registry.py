@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, decontaminate, merkle, pii, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, merkle, packing, pii, secret_scan, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1,
         "op2_merkle_fingerprints": merkle.op2,
         "op3_warc": warc.op3,
         "op4_stratified_shards": sharding.op4,
