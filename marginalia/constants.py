@@ -239,7 +239,7 @@ STRONG_SUFFIXES = [
     "(ですか|ますか|でしょうか|について|とは|って)$",
     "(何ですか|なに|何|どれ|どのくらい|どんな|教えて)$",
     "(お願い|お願いします|みせて|見せて)$",
-    "(擅长什么|擅长什麼|是什么|是什麼|有哪些|有哪一些|怎么|如何|多少|最近|最新)$",
+    "(擅长什么|擅長什麼|是什么|是什麼|有哪些|有哪一些|怎么|如何|多少|最近|最新)$",
     "(ね|よ|かな|か|呢|吗|嗎|嘛|呀|啊)$",
 ]
 ENTITY_BEFORE_PARTICLE = r"([\x{3400}-\x{9fff}]{2,16})(?:さん|様|氏|ちゃん|くん)?(?:の|は|が|を|に|で|と|って)"

@@ -70,7 +70,7 @@ TABLES = {
       CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'weak' END AS quality_status
       FROM labels""",
     "queries": f"""SELECT item_id AS query_id, item_id % 20 + 1 AS user_id,
-      array_to_string(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 6), ' ') AS query,
+      text AS query,
       {PROFILE_LIST}[item_id % 4 + 1] AS profile FROM benchmark""",
     "questions": f"""SELECT 'b' || item_id AS question_id, text AS question, {PROFILE_LIST}[item_id % 4 + 1] AS profile
       FROM benchmark UNION ALL SELECT 'c_' || conv_id || '_' || turn, text, {PROFILE_LIST}[conv_id % 4 + 1]
@@ -116,7 +116,9 @@ TABLES = {
       FROM lineitem GROUP BY 1""",
     "parse_requests": f"""SELECT event_id, user_id, md5(event_type || {K}) AS file_md5,
       CASE WHEN {K} <> 0 THEN 'file_' || {K} END AS file_name, 'docs/' || user_id AS storage_path, ts FROM events""",
-    "visual_pages": f"""SELECT vec_id AS visual_page_id, md5(vec_id::varchar) AS file_md5, vec_id % 20 + 1 AS user_id,
+    "unit_parents": """SELECT file_md5, chunk_id AS parent_chunk_id, 'u' || (chunk_id % 3) AS document_unit_key, text_content,
+      length(text_content) % 100 AS quality_score, coalesce(quality_status, 'weak') AS quality_status FROM chunks LEFT JOIN chunk_quality USING (file_md5)""",
+    "visual_pages": f"""SELECT vec_id AS visual_page_id, md5(vec_id::varchar) AS file_md5, 'u' || (vec_id % 3) AS document_unit_key, vec_id % 20 + 1 AS user_id,
       CASE WHEN vec_id % 10 = 0 THEN 'DEFAULT' ELSE 'N' || (vec_id % 25) END AS org_tag, vec_id % 7 = 0 AS is_public,
       {PROFILE_LIST}[vec_id % 4 + 1] AS kb_profile, 'sheet_' || label AS sheet, 'page:' || (vec_id % 40 + 1) AS page_label,
       CASE WHEN vec_id % 10 = 0 THEN 'pending_provider' ELSE 'indexed' END AS status,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
@@ -26,8 +27,8 @@ def asked(t: Tables):
     return q.withColumn("intent", Q.intent(F.col("query")))
 
 
-def found(t: Tables, n: int = 12):
-    """The first n line items of a supplier as the hits of a question."""
+def found(t: Tables):
+    """All line items of a supplier as the hits of a question."""
     p = t.raw("part").select("p_partkey", "p_name", "p_brand", "p_type")
     k = F.col("l_partkey") % 6
     text = (
@@ -42,7 +43,8 @@ def found(t: Tables, n: int = 12):
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
     )
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "chunk_id", "l_quantity", "l_extendedprice", "score")]
-    return top_rows(l, ["query_id"], order, n).drop("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return l.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).drop(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
 HITS = {
@@ -51,7 +53,7 @@ HITS = {
       CASE l_partkey % 6 WHEN 0 THEN '[关系] ' || p_name || ' --连接--> ' || p_brand WHEN 1 THEN '[diagram_page] ' || p_name WHEN 2 THEN p_name || ' 入力> ' || p_brand
         ELSE p_name || ' ' || p_type || ' ' || p_brand END AS text_content, round(l_discount + l_tax, 4) AS score, CASE WHEN l_partkey % 7 = 0 THEN 'img/' || l_partkey END AS image_path,
       row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, round(l_discount + l_tax, 4)) AS rank
-      FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE rank <= 12""",
+      FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "kd": "SELECT *, chunk_id % 6 IN (0, 2) AS is_relation, chunk_id % 6 = 1 OR image_path IS NOT NULL AS is_visual FROM hh",
 }
 
@@ -118,7 +120,7 @@ PROMOTE_SQL = with_tables("""SELECT query_id, chunk_id, rank, round(ps, 6) AS pr
 
 
 def three_ways(t: Tables):
-    base = E.with_kinds(found(t, 30))
+    base = E.with_kinds(found(t))
     w = R.channel_weights(t.spark.createDataFrame(C.PROFILES, C.PROFILE_FIELDS))
 
     def channel(df):
@@ -259,8 +261,8 @@ def memory_messages(t: Tables):
     s = F.col("seq")
     word = F.regexp_extract("content", "([A-Za-z]{3,10})", 1)
     c = (
-        F.when(s % 7 == 0, F.concat(F.lit("sheet "), word, F.lit(" count"))).when(s % 7 == 2, F.concat(word, F.lit("の期間 of all the long running work")))
-        .when(s % 7 == 4, F.lit("それ?")).otherwise(F.left("content", F.lit(20)))
+        F.when(s % 7 == 0, F.concat(F.lit("sheet "), word, F.lit(" count "), "content")).when(s % 7 == 2, F.concat(word, F.lit("の期間 of all the long running work "), "content"))
+        .when(s % 7 == 4, F.lit("それ?")).otherwise(F.col("content"))
     )
     return t.messages().withColumn("content", c)
 
@@ -272,7 +274,7 @@ def memory(t: Tables):
 
 _CON = "CASE " + " ".join(f"WHEN {has_any('c', w)} THEN '{n}'" for n, w in C.CONSTRAINT_WORDS.items()) + " ELSE '' END"
 MEMORY = {
-    "mm": """SELECT conversation_id, seq, regexp_replace(CASE seq % 7 WHEN 0 THEN 'sheet ' || w || ' count' WHEN 2 THEN w || 'の期間 of all the long running work' WHEN 4 THEN 'それ?' ELSE left(content, 20) END, '', '') AS raw FROM (
+    "mm": """SELECT conversation_id, seq, regexp_replace(CASE seq % 7 WHEN 0 THEN 'sheet ' || w || ' count ' || content WHEN 2 THEN w || 'の期間 of all the long running work ' || content WHEN 4 THEN 'それ?' ELSE content END, '', '') AS raw FROM (
       SELECT *, regexp_extract(content, '([A-Za-z]{3,10})', 1) AS w FROM messages WHERE role = 'user')""",
     "mc": r"SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS c FROM mm",
     "ms": rf"""SELECT *, CASE WHEN regexp_matches(c, '[A-Za-z0-9_/-]{{2,40}}の期間') THEN regexp_extract(c, '([A-Za-z0-9_/-]{{2,40}})の期間', 1) ELSE '' END AS subject, {_CON} AS con,
@@ -317,7 +319,7 @@ def timeline(t: Tables):
 
 
 def backfilled(t: Tables):
-    i = M.experience_items(experience_chunks(t).filter("chunk_id % 5 = 0"), 202406)
+    i = M.experience_items(experience_chunks(t), 202406)
     return M.backfill_files(i, t.chunks())
 
 
@@ -349,5 +351,5 @@ QUERIES = {
     "n05_t05_timeline": (timeline, with_tables("""SELECT user_id, id, text_content, rank FROM (SELECT user_id, k AS id, '[时间线] 项目: ' || project || ' ; 期间: ' || period || ' ; 角色: ' || coalesce(role, '未明确角色')
       || CASE WHEN user_id % 2 = 0 THEN ' ; 距今天约: ' || greatest(0, 2024 * 12 + 6 - (end_ym // 100 * 12 + end_ym % 100)) || ' 个月' ELSE '' END AS text_content,
       row_number() OVER (PARTITION BY user_id ORDER BY end_ym DESC, start_ym DESC, k DESC) AS rank FROM xi JOIN visible USING (file_md5)) WHERE rank <= least(greatest(user_id % 30 - 2, 1), 20)""", EXP)),
-    "j12_backfill_files": (backfilled, with_tables("SELECT DISTINCT file_md5 FROM chunks WHERE file_md5 NOT IN (SELECT file_md5 FROM xo WHERE k % 5 = 0)", EXP)),
+    "j12_backfill_files": (backfilled, with_tables("SELECT DISTINCT file_md5 FROM chunks WHERE file_md5 NOT IN (SELECT file_md5 FROM xo)", EXP)),
 }

@@ -38,7 +38,7 @@ class Search:
         """The chunk index, built once and read by every channel."""
         none = F.lit(None).cast("string")
         rows = acl.with_file_tokens(self.t.chunks(), self.ancestors).withColumns(
-            {"sheet": none, "section": none, "row_order": F.col("doc_id") * 100000 + F.col("chunk_id")}
+            {"sheet": none, "section": none, "row_order": F.struct("doc_id", "chunk_id")}
         )
         return stored(R.index_columns(rows), "chunk-index")
 
@@ -53,8 +53,13 @@ def bm25(t: Tables):
 
 
 def parts(t: Tables):
+    """Benchmark items and, for the prefix rule, documents short enough for it, as queries."""
     s = Search(t)
-    p = R.text_scores(s.chunks, s.queries.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 2), " ")), prefix=True)
+    n = F.col("doc_id")
+    short = t.raw("documents").filter("length(text) <= 24").select(
+        (-n - 1).alias("query_id"), (n % 20 + 1).alias("user_id"), F.col("text").alias("query")
+    ).join(users_with_tokens(t).select("user_id", "tokens"), "user_id")
+    p = R.text_scores(s.chunks, s.queries.select("query_id", "user_id", "query", "tokens").unionByName(short.select("query_id", "user_id", "query", "tokens")), prefix=True)
     return p.select(
         "query_id", "file_md5", "chunk_id", *[F.round(c, 6).alias(c) for c in ("match", "phrase", "prefix")]
     )
@@ -132,7 +137,7 @@ def _case_results(t: Tables):
     exp = t.raw("benchmark").select(
         F.col("item_id").alias("query_id"),
         F.array(F.md5(F.col("item_id").cast("string"))).alias("file_md5_any"),
-        F.array(F.split(F.trim("text"), r"\s+")[0]).alias("text_contains_any"),
+        F.array("text").alias("text_contains_any"),
         F.when(F.col("item_id") % 5 == 0, F.lit(9.0)).alias("min_score"),
     )
     j = hits.join(exp, "query_id")
@@ -151,7 +156,7 @@ def quality_join(t: Tables):
 
 def prioritised(t: Tables):
     """Chunks of a file as the hits of one query, in chunk order."""
-    hits = t.chunks().select(F.col("user_id").alias("query_id"), "file_md5", "chunk_id", (F.col("doc_id") * 1000 + F.col("chunk_id")).alias("pos"))
+    hits = t.chunks().select(F.col("user_id").alias("query_id"), "file_md5", "chunk_id", F.struct("doc_id", "chunk_id").alias("pos"))
     return R.prioritise(R.with_quality(hits, t.child_quality()), "pos", 15).select(
         "query_id", "file_md5", "chunk_id", "quality_status", "rank"
     )
@@ -159,7 +164,7 @@ def prioritised(t: Tables):
 
 def cascade(t: Tables):
     s = Search(t)
-    strict = R.bm25_channel(s.chunks, s.queries.filter("query_id % 3 = 0"), 5).select("query_id", "file_md5", "chunk_id", "rank")
+    strict = R.bm25_channel(s.chunks, s.queries, 5).filter("score >= 100").select("query_id", "file_md5", "chunk_id", "rank")
     loose = R.entity_channel(s.chunks, s.queries, 5).select("query_id", "file_md5", "chunk_id", "rank")
     return R.fallback(strict, loose)
 
@@ -187,14 +192,13 @@ def index_rows(t: Tables):
 
 
 def page_search(t: Tables):
-    from marginalia.operators.pages import search_pages
+    from marginalia.operators.pages import best_parent, search_pages
 
     s = Search(t)
     pages = acl.with_file_tokens(t.visual_pages(), s.ancestors)
     q = s.queries.withColumn("query", F.concat_ws(" ", "query", F.concat(F.lit("sheet_"), (F.col("query_id") % 10).cast("string"))))
-    best = t.files().select("file_md5", F.md5("file_name").alias("text_content")).filter(F.ascii("file_md5") % 2 == 0)
-    r = search_pages(pages, q, best, 8)
-    return r.select("query_id", "file_md5", "chunk_id", "score", "rank", "text_content")
+    r = search_pages(pages, q, best_parent(t.unit_parents()), 8)
+    return r.select("query_id", "file_md5", "chunk_id", "score", "rank", F.md5("text_content").alias("text_md5"))
 
 
 def page_index(t: Tables):
@@ -285,12 +289,12 @@ def prune(body: str, steps: dict[str, str]) -> str:
 
 
 QS = query_steps("SELECT * FROM queries")
-QS2 = query_steps("SELECT * REPLACE (array_to_string(list_slice(string_split(query, ' '), 1, 2), ' ') AS query) FROM queries")
+QS2 = query_steps("SELECT query_id, user_id, query FROM queries UNION ALL SELECT -doc_id - 1, doc_id % 20 + 1, text FROM documents WHERE length(text) <= 24")
 QSV = query_steps("SELECT * REPLACE (query || ' sheet_' || (query_id % 10) AS query) FROM queries")
 CHUNK = "query_id, file_md5, chunk_id"
 CASE_STEPS = {
     **QS,
-    "jd": """SELECT query_id, rank, (file_md5 = md5(query_id::varchar) OR contains(lower(text_content), lower(regexp_split_to_array(trim(text), '\\s+')[1]))
+    "jd": """SELECT query_id, rank, (file_md5 = md5(query_id::varchar) OR contains(lower(text_content), lower(text))
       OR coalesce(score >= CASE WHEN item_id % 5 = 0 THEN 9.0::double END, false)) AS rel FROM bm JOIN chunks USING (file_md5, chunk_id) JOIN benchmark ON item_id = query_id WHERE rank <= 10""",
     "rs": """SELECT q.query_id AS case_id, count(j.query_id) AS retrieved, count(*) FILTER (rel) AS relevant_in_topk, min(rank) FILTER (rel) AS f
       FROM qq q LEFT JOIN jd j USING (query_id) GROUP BY 1""",
@@ -322,12 +326,13 @@ QUERIES = {
           + CASE WHEN kb_profile = profile THEN 0.3::double ELSE 0 END, 4) AS score, coalesce(q.quality_status, 'weak') AS quality_status
         FROM ca c LEFT JOIN chunk_quality q USING (file_md5) WHERE pos <= 12) WHERE quality_status <> 'rejected')""", {**QS,
         "frm": "SELECT query_id, lower(w) AS f FROM kws UNION SELECT query_id, array_to_string(string_split(lower(w), ''), ' ') FROM kws WHERE length(w) <= 6",
-        "ca": """SELECT q.query_id, q.profile, c.*, row_number() OVER (PARTITION BY q.query_id ORDER BY doc_id * 100000 + chunk_id) AS pos
+        "ca": """SELECT q.query_id, q.profile, c.*, row_number() OVER (PARTITION BY q.query_id ORDER BY doc_id, chunk_id) AS pos
           FROM qq q JOIN visible v ON v.user_id = q.user_id JOIN chunks c ON c.file_md5 = v.file_md5
           WHERE EXISTS (SELECT 1 FROM frm f WHERE f.query_id = q.query_id AND contains(lower(c.text_content), f.f))"""})),
     "r13_p08_j05_page_search": (page_search, prune("""SELECT query_id, file_md5, -visual_page_id AS chunk_id, score, rank,
-      CASE WHEN ascii(file_md5) % 2 = 0 AND doc_id IS NOT NULL THEN md5(file_name) ELSE '[visual_page] label=' || page_label || ' sheet=' || sheet END AS text_content
-      FROM vr LEFT JOIN files USING (file_md5) WHERE rank <= 8""", {**QSV,
+      md5(coalesce(parent, '[visual_page] label=' || page_label || ' sheet=' || sheet)) AS text_md5
+      FROM vr LEFT JOIN bp USING (file_md5, document_unit_key) WHERE rank <= 8""", {**QSV,
+        "bp": """SELECT file_md5, document_unit_key, arg_min(text_content, {'s': -quality_score, 'p': parent_chunk_id}) AS parent FROM unit_parents WHERE quality_status IN ('accepted', 'weak') GROUP BY 1, 2""",
         "ft": f"SELECT visual_page_id, fld, bst, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT visual_page_id, fld, bst, len(l) AS dl, unnest(l) AS term FROM (SELECT visual_page_id, 'label' AS fld, 0.35::double AS bst, regexp_extract_all(lower(page_label), '{W}') AS l FROM visual_pages UNION ALL SELECT visual_page_id, 'sheet', 0.30::double, regexp_extract_all(lower(sheet), '{W}') FROM visual_pages)) GROUP BY 1, 2, 3, 4",
         "fdf": "SELECT fld, term, count(*) AS df FROM ft GROUP BY 1, 2",
         "fsz": "SELECT fld, count(DISTINCT visual_page_id) AS n, sum(tf)::double / count(DISTINCT visual_page_id) AS avg_dl FROM ft GROUP BY 1",
@@ -351,10 +356,10 @@ QUERIES = {
       round(coalesce(1.0::double / f, 0), 6) AS mrr FROM rs""", CASE_STEPS)),
     "j03_chunk_quality": (quality_join, with_tables("SELECT file_md5, chunk_id, coalesce(quality_status, 'weak') AS quality_status FROM chunks LEFT JOIN chunk_quality USING (file_md5)")),
     "w03_prioritised": (prioritised, with_tables("""SELECT query_id, file_md5, chunk_id, quality_status, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-      ORDER BY CASE WHEN quality_status = 'accepted' THEN 0 ELSE 1 END, doc_id * 1000 + chunk_id) AS rank FROM (SELECT c.user_id AS query_id, c.*, coalesce(q.quality_status, 'weak') AS quality_status
+      ORDER BY CASE WHEN quality_status = 'accepted' THEN 0 ELSE 1 END, doc_id, chunk_id) AS rank FROM (SELECT c.user_id AS query_id, c.*, coalesce(q.quality_status, 'weak') AS quality_status
       FROM chunks c LEFT JOIN chunk_quality q USING (file_md5)) WHERE quality_status <> 'rejected') WHERE rank <= 15""")),
-    "u02_fallback": (cascade, prune(f"""SELECT {CHUNK}, rank FROM bm WHERE rank <= 5 AND query_id % 3 = 0 UNION ALL
-      SELECT {CHUNK}, rank FROM en WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM bm WHERE query_id % 3 = 0)""", QS)),
+    "u02_fallback": (cascade, prune(f"""SELECT {CHUNK}, rank FROM bm WHERE rank <= 5 AND score >= 100 UNION ALL
+      SELECT {CHUNK}, rank FROM en WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM bm WHERE rank <= 5 AND score >= 100)""", QS)),
     "u03_supplement": (supplemented, with_tables("""SELECT doc_id AS query_id, file_md5, chunk_id, row_number() OVER (PARTITION BY doc_id
       ORDER BY CASE WHEN chunk_id = 0 OR (chunk_id = 3 AND doc_id % 2 = 0) THEN 0 ELSE 1 END, chunk_id) AS rank FROM chunks WHERE chunk_id < 8""")),
 }

@@ -177,14 +177,14 @@ def page_match(t: Tables):
         F.min("p_brand").alias("b")).withColumn("sheet_no", F.ascii("sheet") * 1000 + F.length("sheet"))
     toks = sheets.select("file_md5", "sheet", F.explode(F.array(X.sheet_match_key(F.col("sheet")), X.sheet_match_key(F.col("b")))).alias("token"))
     pages = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == k).groupBy((k % 50).cast("string").alias("file_md5"), (F.col("l_orderkey") % 40).cast("int").alias("page")).agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws(" - ", "p_name", "p_brand"))), 1, 3), "\n").alias("text"))
+        F.array_join(F.array_sort(F.collect_set(F.concat_ws(" - ", "p_name", "p_brand"))), "\n").alias("text"))
     m = S.match_pages(pages, sheets, toks)
     return m.select("file_md5", "page", F.length("sheet").alias("n"), "n_named")
 
 
 PAGE_MATCH = {
     "sh": "SELECT (p_partkey % 50)::varchar AS file_md5, p_name AS sheet, min(p_brand) AS b, ascii(p_name) * 1000 + length(p_name) AS sheet_no FROM part GROUP BY ALL",
-    "pgs": """SELECT file_md5, page, array_to_string(list_slice(list_sort(list(DISTINCT x)), 1, 3), chr(10)) AS text FROM (SELECT (p_partkey % 50)::varchar AS file_md5, (l_orderkey % 40)::int AS page,
+    "pgs": """SELECT file_md5, page, array_to_string(list_sort(list(DISTINCT x)), chr(10)) AS text FROM (SELECT (p_partkey % 50)::varchar AS file_md5, (l_orderkey % 40)::int AS page,
       p_name || ' - ' || p_brand AS x FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2""",
     "pk": "SELECT *, regexp_replace(lower(text), '[ _-]', '', 'g') AS k FROM pgs",
     "mt": """SELECT file_md5, page, sheet, sheet_no, contains(k, n)::int + CASE WHEN n <> bn THEN contains(k, bn)::int ELSE 0 END AS score FROM (SELECT *, regexp_replace(lower(sheet), '[ _-]', '', 'g') AS n, regexp_replace(lower(b), '[ _-]', '', 'g') AS bn FROM sh)

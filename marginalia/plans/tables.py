@@ -127,12 +127,11 @@ class Tables:
         )
 
     def queries(self) -> DataFrame:
-        words = F.split(F.trim("text"), r"\s+")
         q = F.col("item_id")
         return self.raw("benchmark").select(
             q.alias("query_id"),
             (q % 20 + 1).alias("user_id"),
-            F.array_join(F.slice(words, 1, 6), " ").alias("query"),
+            F.col("text").alias("query"),
             F.element_at(F.array(*[F.lit(p[0]) for p in C.PROFILES]), (q % 4 + 1).cast("int")).alias(
                 "profile"
             ),
@@ -271,11 +270,19 @@ class Tables:
             "ts",
         )
 
+    def unit_parents(self) -> DataFrame:
+        """Chunks as parents: three units a file, scores by length, status by label."""
+        p = self.chunks().select("file_md5", "chunk_id", "text_content").join(self.chunk_quality(), "file_md5", "left")
+        return p.select(
+            "file_md5", F.col("chunk_id").alias("parent_chunk_id"), F.concat(F.lit("u"), (F.col("chunk_id") % 3).cast("string")).alias("document_unit_key"),
+            "text_content", (F.length("text_content") % 100).alias("quality_score"), F.coalesce("quality_status", F.lit("weak")).alias("quality_status"),
+        )
+
     def visual_pages(self) -> DataFrame:
         v = F.col("vec_id")
         return self.raw("embeddings").select(
             v.alias("visual_page_id"),
-            F.md5(v.cast("string")).alias("file_md5"),
+            F.md5(v.cast("string")).alias("file_md5"), F.concat(F.lit("u"), (v % 3).cast("string")).alias("document_unit_key"),
             (v % 20 + 1).alias("user_id"),
             F.when(v % 10 == 0, C.DEFAULT_TAG).otherwise(F.concat(F.lit("N"), (v % 25).cast("string"))).alias("org_tag"),
             (v % 7 == 0).alias("is_public"),

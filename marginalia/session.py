@@ -16,6 +16,7 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "12g") ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("marginalia")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
