@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as C
 from marginalia.functions.text import bind, clean_text
 from marginalia.plans.sequence import running_count, with_halo
+from marginalia.session import stored
 
 
 def window_starts(n: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Column:
@@ -163,7 +164,8 @@ def chunk_starts(
         F.when(F.length("_t") > 2 * size, F.size(window_pieces(F.col("_t"), size, overlap))).otherwise(1).alias("n_pieces"),
     ).filter("n_chars > 0")
     narrow = running_count(narrow, ["file_md5"], "block_index", F.lit(1), "pos", segment_blocks)
-    narrow = with_halo(narrow.withColumn("pos", F.col("pos") - 1), "pos", 0, _max_blocks(size), segment_blocks)
+    # small rows, read four times below: written once, so that texts are cleaned and shuffled once
+    narrow = stored(with_halo(narrow.withColumn("pos", F.col("pos") - 1), "pos", 0, _max_blocks(size), segment_blocks), "chunk-blocks")
 
     def placed(df):
         return df.repartition("file_md5", "seg").sortWithinPartitions("file_md5", "seg", "pos")
@@ -175,9 +177,9 @@ def chunk_starts(
     )
     entries = exits.groupBy("file_md5").applyInPandas(_entries, "file_md5 string, seg long, entry int")
     ready = narrow.join(entries, ["file_md5", "seg"], "left").fillna(0, ["entry"])
-    starts = placed(ready).mapInPandas(
+    starts = stored(placed(ready).mapInPandas(
         _assign(size), "file_md5 string, block_index long, chunk_start long, n_pieces int"
-    )
+    ), "chunk-starts")
     heads = starts.filter("block_index = chunk_start").select("file_md5", "chunk_start", "n_pieces")
     ids = running_count(heads, ["file_md5"], "chunk_start", F.col("n_pieces"), "_upto", segment_blocks)
     ids = ids.select("file_md5", "chunk_start", (F.col("_upto") - F.col("n_pieces")).alias("first_id"))

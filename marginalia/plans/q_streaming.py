@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
@@ -13,10 +16,30 @@ from marginalia.sources import files as SF, tables as ST, topics
 from marginalia.streaming import ingest as I, monitor as M, state as S
 
 
+BATCHES = 3
+ORDER = {"events": "ts", "conversations": "turn"}
+
+
 def stream_of(t: Tables, name: str):
-    """A given table as a stream of its file."""
-    schema = t.spark.read.parquet(f"{t.dir}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+    return as_stream(t, name, t.raw(name))
+
+
+def as_stream(t: Tables, name: str, rows):
+    """A table as a stream of several files, one per micro-batch.
+
+    Tables with a time come in its order, the others by a hash of the row, so keys recur in later batches.
+    """
+    path = scratch(t.spark, f"{name}-stream")
+    if name in ORDER:
+        at = F.col(ORDER[name])
+        at = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ORDER[name]})") if name == "events" else at
+        bounds = rows.select(F.percentile_approx(at, [i / BATCHES for i in range(1, BATCHES)]).alias("b")).first()[0] or []
+        part = sum(((at > b).cast("int") for b in bounds), F.lit(0))
+    else:
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)).cast("int")
+    for i in range(BATCHES):  # one after the other: the source takes files by age
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 class StreamTables(Tables):
@@ -27,19 +50,45 @@ class StreamTables(Tables):
         self.streamed = name
 
     def raw(self, name: str):
-        return stream_of(self, name) if name == self.streamed else super().raw(name)
+        return stream_of(Tables(self.spark, self.dir), name) if name == self.streamed else super().raw(name)
+
+
+def _files_read(query) -> int:
+    """Micro-batches of data behind the query; every file of `as_stream` is one."""
+    last = query.lastProgress
+    end = last["sources"][0]["endOffset"] if last else None
+    found = re.search(r"logOffset\D+(\d+)", str(end))
+    return int(found[1]) + 1 if found else 0
 
 
-def _finish(t: Tables, stream, name: str):
-    """Run a stream over all there is and return its table."""
+def _finish(t: Tables, stream, name: str, keys: list[str], mode: str = "update", until=None):
+    """Run a stream over all there is, or until its table is complete, and return the table."""
     out, chk = scratch(t.spark, name), scratch(t.spark, f"{name}-chk")
-    query = M.to_table(stream, out, chk)
-    query.awaitTermination()
-    return t.spark.read.parquet(out).drop("state")
+    # keyed state needs this store; a state partition keeps a Python worker, so there are no more than cores
+    partitions = min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": S.ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: t.spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        t.spark.conf.set(k, v)
+    try:
+        query = M.to_table(stream, out, chk, mode, endless=until is not None)
+        if until is None:
+            query.awaitTermination()
+        else:
+            # with processing-time state there is always another batch: stop when all files are read and the table is complete
+            while query.isActive and not (_files_read(query) >= BATCHES and until(out)):
+                time.sleep(1)
+            if query.exception():
+                raise query.exception()
+            query.stop()
+    finally:
+        for k, v in before.items():
+            t.spark.conf.set(k, v)
+    return M.newest(t.spark, out, keys)
 
 
 def monitor_stream(t: Tables):
-    m = _finish(t, M.daily_monitor(StreamTables(t, "events").usage_events()), "monitor")
+    m = _finish(t, M.daily_monitor(StreamTables(t, "events").usage_events()), "monitor", ["window_start"])
     return _rounded(m)
 
 
@@ -56,7 +105,7 @@ def monitor_weekly(t: Tables):
 def progress_stream(t: Tables):
     parts = stream_of(t, "lineitem").filter("l_returnflag <> 'R'").select(
         F.md5(F.col("l_orderkey").cast("string")).alias("file_md5"), (F.col("l_linenumber") - 1).alias("chunk_index"))
-    return _finish(t, M.upload_counts(parts), "uploads")
+    return _finish(t, M.upload_counts(parts), "uploads", ["file_md5"])
 
 
 def idempotent_stream(t: Tables):
@@ -74,7 +123,7 @@ def idempotent_batch(t: Tables):
 
 
 def validation(t: Tables):
-    return I.validated(t.parse_requests()).groupBy("missing").agg(F.count("*").alias("n"))
+    return I.validated(t.parse_requests()).select("event_id", "missing")
 
 
 def ingest_stream(t: Tables):
@@ -93,29 +142,57 @@ def _changes(t: Tables):
 
 
 def status_stream(t: Tables):
-    return _finish(t, M.latest_status(_changes(StreamTables(t, "events"))), "status").select("file_md5", "status", "changed_at", "changes")
+    return _finish(t, M.latest_status(_changes(StreamTables(t, "events"))), "status", ["file_md5"]).select("file_md5", "status", "changed_at", "changes")
 
 
 def sessions(t: Tables):
-    s = M.idle_sessions(t.raw("events"))
-    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("longest"))
+    return M.idle_sessions(t.raw("events")).select("user_id", "opened_at", "events")
 
 
-def rates(t: Tables):
+def _timed(events):
     at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6
-    e = t.raw("events").select((F.col("user_id") % 5).alias("user_id"), "event_id", at.alias("at"))
-    r = S.rate_limited_batch(e, 20, 7200)
-    return r.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("allowed").alias("allowed"))
+    return events.select((F.col("user_id") % 5).alias("user_id"), "event_id", at.alias("at"))
+
+
+def rates(t: Tables):
+    return S.rate_limited_batch(_timed(t.raw("events")), 20, 7200)
+
+
+def rate_stream(t: Tables):
+    r = S.rate_limited(_timed(stream_of(t, "events")), 20, 7200)
+    return _finish(t, r, "rates", ["user_id", "event_id"], "append")
 
 
 RATE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 5 AS user_id, event_id, epoch_us(ts) / 1000000.0::double AS sec, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events),
 w AS (SELECT user_id, i, sec AS opened, 1 AS n FROM e WHERE i = 1 UNION ALL
   SELECT e.user_id, e.i, CASE WHEN e.sec >= w.opened + 7200 THEN e.sec ELSE w.opened END, CASE WHEN e.sec >= w.opened + 7200 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
-SELECT user_id, count(*) AS events, count(*) FILTER (n <= 20) AS allowed FROM w GROUP BY 1"""
+SELECT w.user_id, e.event_id, n <= 20 AS allowed FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i"""
+
+
+def _handled(file_md5: str) -> bool:
+    """A handler that never succeeds for a quarter of the files."""
+    if file_md5[0] in "0123":
+        raise RuntimeError("broken file")
+    return True
+
+
+def retries(t: Tables):
+    """Requests through the retry state, until every file is done or given up: one row per attempt."""
+    files = t.parse_requests().select("file_md5").distinct()
+    n = files.count()
+
+    def settled(path: str) -> bool:
+        return t.spark.read.parquet(path).filter(F.col("status").isin(C.STATUS_DONE, C.STATUS_FAILED)).count() >= n
+
+    r = _finish(t, S.with_retries(as_stream(t, "requests", files), _handled), "retries", ["file_md5", "attempts"], "append", settled)
+    return r.select("file_md5", "attempts", "status", "reason")
 
 
 def history(t: Tables):
-    return evaluation.last_messages(t.messages(), C.HISTORY_KEEP).groupBy("conversation_id").agg(F.count("*").alias("kept"), F.min("seq").alias("oldest"))
+    """Conversations through keyed state: after every batch the last messages of those that it touched."""
+    m = StreamTables(t, "conversations").messages().select("conversation_id", "seq", "role", "content")
+    h = _finish(t, S.chat_history(m), "history", ["conversation_id"], until=lambda path: True)
+    return h.select("conversation_id", "seq", "role", F.md5("content").alias("content_md5"))
 
 
 def archive(t: Tables):
@@ -204,14 +281,19 @@ QUERIES = {
     "m02_stream_idempotence": (idempotent_stream, with_tables("SELECT DISTINCT user_id, file_md5 FROM parse_requests WHERE file_name IS NOT NULL AND user_id IS NOT NULL")),
     "m02_first_requests": (idempotent_batch, with_tables("""SELECT user_id, file_md5, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_md5 ORDER BY ts, event_id) AS r
       FROM parse_requests WHERE file_name IS NOT NULL) WHERE r = 1""")),
-    "p15_request_validation": (validation, with_tables("SELECT CASE WHEN file_name IS NULL THEN 'file_name' ELSE '' END AS missing, count(*) AS n FROM parse_requests GROUP BY 1")),
+    "p15_request_validation": (validation, with_tables("SELECT event_id, CASE WHEN file_name IS NULL THEN 'file_name' ELSE '' END AS missing FROM parse_requests")),
     "m01_stream_ingest": (ingest_stream, with_tables(f"""SELECT c.file_md5, chunk_id, md5(text_content) AS text_md5, CASE WHEN length(ct) >= 8 THEN 35 ELSE 28 END AS quality_score, 'rejected' AS quality_status
       FROM chunks c JOIN cleaned USING (doc_id)""")),
     "m05_stream_status": (status_stream, f"""SELECT md5((event_id % 700)::varchar) AS file_md5, arg_max({_ST}, {{'t': ts, 'e': event_id}}) AS status, max(ts) AS changed_at, count(*) AS changes FROM events GROUP BY 1"""),
-    "m09_idle_sessions": (sessions, """SELECT user_id, count(*) AS sessions, sum(n)::bigint AS events, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (
-      SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2) GROUP BY 1"""),
+    "m09_idle_sessions": (sessions, """SELECT user_id, opened_at, n AS events FROM (SELECT user_id, s, min(ts) AS opened_at, count(*) AS n FROM (
+      SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2)"""),
+    "m04_stream_retries": (retries, with_tables(f"""SELECT file_md5, n AS attempts, CASE WHEN left(file_md5, 1) > '3' THEN {C.STATUS_DONE} WHEN n = 3 THEN {C.STATUS_FAILED} ELSE {C.STATUS_PROCESSING} END AS status,
+      CASE WHEN left(file_md5, 1) > '3' THEN '' ELSE 'RuntimeError: broken file' END AS reason
+      FROM (SELECT DISTINCT file_md5 FROM parse_requests), (SELECT unnest([1, 2, 3]) AS n) WHERE left(file_md5, 1) <= '3' OR n = 1""")),
     "m08_rate_limit": (rates, RATE_SQL),
-    "m06_chat_history": (history, with_tables("SELECT conversation_id, least(count(*), 20) AS kept, max(seq) - least(count(*), 20) + 1 AS oldest FROM messages GROUP BY 1")),
+    "m08_stream_rate_limit": (rate_stream, RATE_SQL),
+    "m06_chat_history": (history, with_tables("""SELECT conversation_id, seq, role, md5(content) AS content_md5 FROM (
+      SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) AS r FROM messages) WHERE r <= 20""")),
     "m07_archive": (archive, with_tables("""SELECT conversation_id, seq, role, CASE WHEN seq % 4 = 3 THEN TIMESTAMP '2024-03-01' ELSE ts END AS ts FROM messages
       WHERE conversation_id NOT IN (SELECT conversation_id FROM messages WHERE role = 'system')""")),
     "s02_fingerprints": (fingerprints, "SELECT md5(text) AS file_md5, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS total_size, count(*) AS copies FROM documents GROUP BY 1"),

@@ -49,16 +49,13 @@ def not_done(requests: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 
 
 def append_new(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends keys it has not written before; a repeated batch changes nothing.
+    """A batch writer behind `once_per_file`; a repeated batch changes nothing.
 
-    Each batch owns one folder and compares with the folders of earlier batches only.
+    Whether a key was seen before, and for how long that counts, is the stream's own state. Each batch
+    owns one folder and reads no other.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(f"{path}").filter(F.col("batch") < batch_id)
-            fresh = not_done(fresh, earlier, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
@@ -68,10 +65,26 @@ def chunk_batch(files: DataFrame) -> DataFrame:
     return pack_blocks(enrich(text_blocks(files).drop("file_name")))
 
 
-def ingest(files: DataFrame, table: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = chunk_batch) -> StreamingQuery:
-    """Every micro-batch of files replaces the rows of its files in the chunk table."""
+def newest_versions(files: DataFrame, order: list[str]) -> DataFrame:
+    """One row per file: the last by `order`, on ties the greatest row."""
+    rest = [c for c in files.columns if c != "file_md5"]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *rest))
+    return files.groupBy("file_md5").agg(last.alias("r")).select("file_md5", "r.*").select(*files.columns)
+
+
+def ingest(
+    files: DataFrame, table: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = chunk_batch, order: list[str] | None = None
+) -> StreamingQuery:
+    """Every micro-batch of files replaces the rows of its files in the chunk table.
+
+    Of a file that comes twice in a batch the newest version counts, by the columns in `order`.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        replace_files(process(batch), batch, table, batch_id)
+        once = newest_versions(batch, order or []).persist()
+        try:
+            replace_files(process(once.drop(*(order or []))), once, table, batch_id)
+        finally:
+            once.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,7 +35,7 @@ def legal_step(before: Column, after: Column) -> Column:
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
-    """The newest status per file; works on a stream in update or complete mode."""
+    """The newest status per file; works on a stream in update mode."""
     at = F.struct("ts", "event_id")
     return changes.groupBy("file_md5").agg(F.max_by("status", at).alias("status"), F.max("ts").alias("changed_at"), F.count("*").alias("changes"))
 
@@ -68,8 +68,8 @@ def idle_sessions(events: DataFrame, idle: str = f"{C.IDLE_SECONDS} seconds", la
 
 
 def upload_counts(parts: DataFrame) -> DataFrame:
-    """Distinct parts received per file."""
-    return parts.dropDuplicates(["file_md5", "chunk_index"]).groupBy("file_md5").agg(F.count("*").alias("received"))
+    """Distinct parts received per file; the state of a file is the set of its part numbers."""
+    return parts.groupBy("file_md5").agg(F.size(F.collect_set("chunk_index")).cast("long").alias("received"))
 
 
 def archive_rows(messages: DataFrame, archived: DataFrame, as_of: Column) -> DataFrame:
@@ -78,9 +78,20 @@ def archive_rows(messages: DataFrame, archived: DataFrame, as_of: Column) -> Dat
     return fresh.withColumn("ts", F.coalesce(F.col("ts_text").try_cast("timestamp_ntz"), as_of)).drop("ts_text")
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the whole current result after every batch; each state of it replaces the one before."""
+def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", endless: bool = False) -> StreamingQuery:
+    """Write the rows that a batch changed into the batch's own folder; a repeated batch replaces it.
+
+    A stream with processing-time state never runs dry; start it `endless` and stop it.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/state={batch_id % 2}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    out = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime="1 second") if endless else out.trigger(availableNow=True)).start()
+
 
-    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that `to_table` writes: the rows of the last batch that changed their key."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")

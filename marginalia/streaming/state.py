@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -47,36 +48,50 @@ def chat_history(messages: DataFrame, keep: int = C.HISTORY_KEEP) -> DataFrame:
 
 
 class RateProcessor(StatefulProcessor):
-    """The first event opens a window; events past the limit inside it are rejected."""
+    """The first event opens a window; events past the limit inside it are rejected.
+
+    A timer at the window's end drops its state, so idle users cost nothing.
+    """
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window_s = limit, window_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "opened double, n int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         opened, n = self.window.get() if self.window.exists() else (float("-inf"), 0)
-        for pdf in rows:
-            pdf = pdf.sort_values(["at", "event_id"])
-            verdict = []
-            for at in pdf["at"]:
-                if at >= opened + self.window_s:
-                    opened, n = float(at), 0
-                n += 1
-                verdict.append(n <= self.limit)
-            yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"].to_numpy(), "allowed": verdict})
+        # a user's events of one micro-batch come in several frames; the rule needs them in one order
+        pdf = pd.concat([f[["at", "event_id"]] for f in rows]).sort_values(["at", "event_id"])
+        verdict = []
+        for at in pdf["at"]:
+            if at >= opened + self.window_s:
+                opened, n = float(at), 0
+            n += 1
+            verdict.append(n <= self.limit)
+        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"].to_numpy(), "allowed": verdict})
         self.window.update((float(opened), int(n)))
+        self.handle.registerTimer(math.ceil((opened + self.window_s) * 1000))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.window.exists() and (self.window.get()[0] + self.window_s) * 1000 <= timerValues.getCurrentWatermarkInMs():
+            self.window.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def rate_limited(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """M08 as a stream: events need user_id, event_id and `at` (seconds)."""
-    return events.groupBy("user_id").transformWithStateInPandas(
+def rate_limited(events: DataFrame, limit: int, window_s: int, late: str = "10 minutes") -> DataFrame:
+    """M08 as a stream: events need user_id, event_id and `at` (seconds); micro-batches come in order of time.
+
+    Events later than `late` behind the newest get no verdict, as their window is gone.
+    """
+    timed = events.withColumn("_at", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("_at", late)
+    return timed.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=RateProcessor(limit, window_s), outputStructType="user_id bigint, event_id bigint, allowed boolean",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
