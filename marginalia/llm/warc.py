@@ -182,8 +182,10 @@ def _page(urn: str | None) -> str | None:
 def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the listed files (file, bytes): RECORDS. The payload of a revisit is null."""
     ship(spark)
-    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes))).alias("start")) \
-        .where("bytes > 0").repartition(F.col("file"), F.col("start"))
+    ranges = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
+    # a range is a task's work though its row is tiny, so their number is fixed and not left to the size of the shuffle
+    n = files.select(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), 10_000))
 
     def run(batches):
         for batch in batches:
