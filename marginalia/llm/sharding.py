@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marginalia.session import stored
 
 #: Rows that share a bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 LAW = "rows"
 
 
@@ -64,7 +64,3 @@ def op4(spark, sf_dir):
     return assign(docs).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "source")
-
-
-#: The same layout in SQL needs Spark's hash; tests/llm compares with a plain version instead.
-SQL = None
