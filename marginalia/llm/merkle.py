@@ -26,6 +26,8 @@ PARAGRAPH = r"(?<=\n)"
 SECTION = r"(?<=[0-3]),"
 #: Parts into which documents that share one doc_id, or have none, are dealt.
 PARTS = 64
+#: Percentile ranges of doc_id, and the rows of a range from which it is cut further.
+RANGES, RANGE_ROWS = 2000, 50_000
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -89,18 +91,25 @@ def edits(df: DataFrame, a: str, b: str) -> DataFrame:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``next_<column>`` of the row that follows by doc_id descending; the last is followed by the first.
 
-    Rows are dealt to ranges of doc_id by percentiles; a range's last row finds its follower in a copy of the next range's
-    first row. Ids that fill whole ranges, and missing ids, are cut further by a hash of the text. Only the ranges' bounds
-    and first rows' keys, as many as there are ranges, reach the driver.
+    Rows are dealt to ranges of doc_id by percentiles, and large tables within those by equal widths; a range's last row
+    finds its follower in a copy of the next range's first row. Ids that fill whole ranges, and missing ids, are cut further
+    by a hash of the text. Only bounds and one key per range, 24 bytes for about RANGE_ROWS rows, reach the driver.
     """
     spark = docs.sparkSession
-    ranges = min(2000, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = sorted(set(found))
+    ranges = min(RANGES, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found, low, high, n = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges),
+                                   F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    found = found or []
+    bounds, widths = sorted(set(found)), -(-n // (ranges * RANGE_ROWS)) or 1
     hot = sorted({x for x in found if found.count(x) > 1})
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
     cut_further = F.col("doc_id").isNull() | (F.col("doc_id").isin(hot) if hot else F.lit(False))
-    span = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - at)
+    # descending: the number of the range from above, then of the width inside it
+    span = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - at).cast("long") * widths
+    if widths > 1:
+        least, most = (F.element_at(F.array(*map(F.lit, xs)).cast("array<double>"), at + 1) for xs in ([low, *bounds], [*bounds, high]))
+        share = F.floor((F.col("doc_id").cast("double") - least) / F.greatest(most - least, F.lit(1.0)) * widths)
+        span = span + F.coalesce(widths - 1 - F.greatest(F.least(share, F.lit(widths - 1)), F.lit(0)), F.lit(0))
     # an id that is cut further stands in a range of its own behind the rest of its range: bounds are the least ids of ranges
     keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn(
         "_o", span * (PARTS + 1) + F.when(cut_further, F.shiftrightunsigned("_h", 58).cast("int") + 1).otherwise(0)) \
@@ -108,7 +117,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     order = lambda name: F.struct(F.col("_d").isNull().alias("none"), F.col("_d").alias("d"), F.col("_h").alias("h")).alias(name)
     heads = sorted((r["_o"], r["head"]["d"], r["head"]["h"]) for r in keyed.select("_o", order("s")).groupBy("_o").agg(F.min("s").alias("head")).collect())
     follow = [(heads[(i + 1) % len(heads)][1], heads[(i + 1) % len(heads)][2], o) for i, (o, _, _) in enumerate(heads)]
-    key = spark.createDataFrame(follow, "_kd long, _kh long, _ko int")
+    key = spark.createDataFrame(follow, "_kd long, _kh long, _ko long")
     copies = keyed.join(F.broadcast(key), F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh"))) \
         .withColumn("_o", F.col("_ko")).drop("_kd", "_kh", "_ko").dropDuplicates(["_o"]).withColumn("_copy", F.lit(1))
     rows = keyed.withColumn("_copy", F.lit(0)).unionByName(copies)

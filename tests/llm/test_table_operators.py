@@ -77,6 +77,14 @@ def test_next_with_hot_and_missing_ids(spark, data):
     assert Counter(r.next_text for r in out) == Counter(r[1] for r in data)  # one cycle through all rows
 
 
+def test_ranges_cut_by_width_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 1)
+    ids = [i * i * i - 40_000 for i in range(150)] + [-(1 << 63), (1 << 63) - 1, 7]
+    data = [(i, f"text {i}", None, None, 1) for i in ids]
+    got = {r.doc_id: r.next_text for r in merkle.with_next(frame(spark, data).select("doc_id", "text"), ["text"]).collect()}
+    assert got == {a[0]: b[1] for a, b in plain_next(data)}
+
+
 def test_branches_locate_edits(spark):
     a = "".join(f"Paragraph {i} says this, and that.\n" for i in range(40))
     b = a.replace("Paragraph 17 says", "Paragraph 17 said")
