@@ -337,5 +337,25 @@ def op7(spark, sf_dir):
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find(docs.select("doc_id", "text"), benchmark, keep=["doc_id"]).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "spans")
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+#: The contract by plain comparison of windows.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS l FROM documents),
+b AS (SELECT DISTINCT coalesce(item_id::varchar, '') AS item, {_words('text')} AS l FROM benchmark),
+w AS (SELECT item, len(s) AS n, array_to_string(s, ' ') AS k FROM (
+  SELECT item, unnest(list_transform(range(1, greatest(len(l) - {WINDOW - 1}, 1) + 1), lambda i: l[i:i + {WINDOW - 1}])) AS s FROM b WHERE len(l) > 0)),
+p AS (SELECT doc_id, n, l, unnest(range(1, len(l) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w)),
+h AS (SELECT DISTINCT doc_id, i, n, item FROM (SELECT doc_id, i, n, array_to_string(l[i:i + n - 1], ' ') AS k FROM p) JOIN w USING (n, k)),
+t AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM h GROUP BY 1)
+SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
 

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL}
+    return {"op3_warc": warc.SQL, "op7_fm_index_decontamination": decontaminate.SQL}
