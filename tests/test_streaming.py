@@ -43,6 +43,24 @@ def test_ingest_replaces_file_rows(spark):
     assert run([("a", "a.md", "second text"), ("b", "b.txt", "  ")]) == [("a", 0, "second text")]
 
 
+def test_file_twice_in_one_batch_counts_once(spark):
+    src, table, chk = folder(), folder() + "/t", folder()
+    schema = "file_md5 string, file_name string, value string, version int"
+    spark.createDataFrame([("a", "a.txt", "old text", 1), ("a", "a.txt", "new text", 2)], schema).coalesce(1).write.mode("append").parquet(src)
+    I.ingest(spark.readStream.schema(schema).parquet(src), table, chk, order=["version"]).awaitTermination()
+    assert [(r["file_md5"], r["chunk_id"], r["text_content"]) for r in I.ingested(spark, table).collect()] == [("a", 0, "new text")]
+
+
+def test_state_table_over_three_batches(spark):
+    src, out, chk = folder(), folder() + "/t", folder()
+    schema = "file_md5 string, chunk_index int"
+    for rows in ([("a", 0), ("b", 0), ("a", 0)], [("a", 1), ("a", 2)], [("a", 3), ("a", 1), ("c", 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    M.to_table(M.upload_counts(live), out, chk).awaitTermination()
+    assert sorted((r["file_md5"], r["received"]) for r in M.newest(spark, out, ["file_md5"]).collect()) == [("a", 4), ("b", 1), ("c", 1)]
+
+
 def test_validation_and_dead_letters(spark):
     r = spark.createDataFrame([("m", "n", "p", 1), ("m", None, "", 1)], "file_md5 string, file_name string, storage_path string, user_id bigint")
     got = [x["missing"] for x in I.validated(r).collect()]
@@ -53,7 +71,7 @@ def test_validation_and_dead_letters(spark):
 
 def test_rate_limit_stream_equals_batch(spark):
     src, out, chk = folder(), folder() + "/t", folder()
-    events = spark.range(60).select((F.col("id") % 2).alias("user_id"), F.col("id").alias("event_id"), (F.col("id") * 7 % 200).cast("double").alias("at"))
+    events = spark.range(60).select((F.col("id") % 2).alias("user_id"), F.col("id").alias("event_id"), (F.col("id") * 7 % 200 + 1000).cast("double").alias("at"))
     events.coalesce(1).write.mode("append").parquet(src)
     live = S.rate_limited(spark.readStream.schema(events.schema).parquet(src), 3, 20)
     live.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).trigger(availableNow=True).start().awaitTermination(120)
