@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions.text import comma_list
+from marginalia.plans.joins import salts_for
 from marginalia.plans.sequence import top_rows
 from marginalia.session import cut
 
@@ -93,15 +94,16 @@ def can_read(file_tokens: Column, user_tokens_col: Column) -> Column:
     return F.arrays_overlap(file_tokens, user_tokens_col)
 
 
-def readable_files(users: DataFrame, files: DataFrame, salts: int = 16) -> DataFrame:
+def readable_files(users: DataFrame, files: DataFrame, salts: int | None = None) -> DataFrame:
     """(user_id, file_md5) pairs by an equi join on tokens.
 
     Tokens such as 'public' are held by very many files, so the file side is salted and the
-    (small) user side repeated per salt. A pair is kept at its first common token only, which
-    needs no distinct.
+    (small) user side repeated per salt; the number of salts follows from the most frequent token.
+    A pair is kept at its first common token only, which needs no distinct.
     """
-    salt = F.pmod(F.xxhash64("file_md5"), F.lit(salts)).cast("int")
-    f = files.select("file_md5", "file_tokens", salt.alias("_salt"), F.explode("file_tokens").alias("_token"))
+    held = files.select("file_md5", "file_tokens", F.explode("file_tokens").alias("_token"))
+    salts = salts or salts_for(held, ["_token"])
+    f = held.withColumn("_salt", F.pmod(F.xxhash64("file_md5"), F.lit(salts)).cast("int"))
     u = users.select(
         F.col("user_id").alias("reader_id"), F.col("tokens").alias("_have"),
         F.explode("tokens").alias("_token"),
@@ -114,6 +116,34 @@ def readable_files(users: DataFrame, files: DataFrame, salts: int = 16) -> DataF
     )
 
 
+def readable_rows(rows: DataFrame, readers: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Rows (`key`, file_md5, ...) whose reader holds a token of the file; no table of readers and files.
+
+    readers: `key`, tokens; files: file_md5, file_tokens.
+    """
+    both = rows.join(files.select("file_md5", "file_tokens"), "file_md5").join(readers.select(key, "tokens"), key)
+    return both.filter(can_read(F.col("file_tokens"), F.col("tokens"))).select(*rows.columns)
+
+
+def first_readable(
+    rows: DataFrame, readers: DataFrame, files: DataFrame, on: list[str], order: list[Column], k: int, unique: list[str],
+    within: list[str] | None = None,
+) -> DataFrame:
+    """Rows with every column of their readers, enough to hold each reader's first k rows in `order`.
+
+    Rows are cut to the first k per `on` and file, then per `on` and token, and meet the readers by
+    token, so a reader meets at most k rows per token however many files it may read. `unique`
+    names the columns that tell reader and row apart; a row met through two tokens stays once.
+    With `within` the cut is made for each value of these columns of the rows.
+    """
+    kinds = [*on, *(within or [])]
+    per_file = top_rows(rows, [*kinds, "file_md5"], order, k, "_r").drop("_r")
+    tokens = files.select("file_md5", F.explode("file_tokens").alias("_token"))
+    few = top_rows(per_file.join(tokens, "file_md5"), [*kinds, "_token"], order, k, "_r").drop("_r")
+    mine = readers.withColumn("_token", F.explode(F.array_distinct("tokens"))).drop("tokens")
+    return mine.join(few, [*on, "_token"]).drop("_token").dropDuplicates(unique)
+
+
 def newest_files(users: DataFrame, files: DataFrame, n: int) -> DataFrame:
     """The n newest readable files per user; every token is cut to its own n newest first."""
     newest = [F.col("created_at").desc(), F.col("file_md5")]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as C
 from marginalia.functions import questions as Q
 from marginalia.functions import text as X
+from marginalia.operators.acl import first_readable
 from marginalia.plans.sequence import running_count, top_rows, with_halo
 
 
@@ -91,15 +92,18 @@ def backfill_files(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("file_md5").distinct().join(items.select("file_md5").distinct(), "file_md5", "left_anti")
 
 
-def recent_items(items: DataFrame, readable: DataFrame, top_n: Column | int, as_of: Column, distance: Column) -> DataFrame:
+def recent_items(
+    items: DataFrame, users: DataFrame, files: DataFrame, top_n: Column | int, as_of: Column, distance: Column
+) -> DataFrame:
     """The newest items a user may see as timeline rows (1 to 20 of them).
 
-    Items are cut to the 20 newest per file before they meet the users.
+    users: user_id, tokens; files: file_md5, file_tokens. Items are cut to the 20 newest per token
+    before they meet the users.
     """
     order = [F.col("end_ym").desc(), F.col("start_ym").desc(), F.col("id").desc()]
-    few = top_rows(items, ["file_md5"], order, 20, "_r").drop("_r")
+    key = ["user_id", "file_md5", "project_name", "start_ym", "end_ym"]
     n = F.least(F.greatest(F.lit(top_n) if isinstance(top_n, int) else top_n, F.lit(1)), F.lit(20))
-    seen = readable.join(few, "file_md5").withColumn("_n", n)
+    seen = first_readable(items, users, files, [], order, 20, key).withColumn("_n", n)
     best = top_rows(seen, ["user_id"], order, F.col("_n"), at_most=20).drop("_n")
     text = F.concat(
         F.lit(f"{C.TIMELINE_MARK} 项目: "), "project_name", F.lit(" ; 期间: "), F.coalesce("period_text", F.lit("")), F.lit(" ; 角色: "),

@@ -9,21 +9,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+SALT_ROWS = 100_000
 FEW_TERMS = 64
 MANY_TERMS = 100_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most `rows` rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts and arrays by their content, other values eight."""
+    out = F.lit(0)
+    for name, kind in df.dtypes:
+        col = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = F.octet_length(col)
+        elif "<" in kind:
+            size = F.octet_length(F.to_json(F.struct(col)))
+        else:
+            size = F.lit(8)
+        out = out + F.coalesce(size, F.lit(0)) + 8
+    return out
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most `rows` rows and `size` bytes; reads no more than needed to tell."""
+    n, total = df.limit(rows + 1).select(_width(df).alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return n <= rows and (total or 0) <= size
+
+
+def salts_for(df: DataFrame, keys: list[str], rows: int = SALT_ROWS) -> int:
+    """Into how many parts the most frequent key has to be cut to hold at most about `rows` rows each."""
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return max(1, -(-(most or 0) // rows))
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, salts: int = 16
+    big: DataFrame, small: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, salts: int | None = None
 ) -> DataFrame:
     """Inner join that broadcasts the small side if it proves small, else spreads hot keys by salt."""
     if is_small(small, rows):
         return big.join(F.broadcast(small), on)
+    salts = salts or salts_for(big, on)
+    if salts == 1:
+        return big.join(small, on)
     # a hash of the row, not a random number: a recomputed task has to place its rows as before
     row = [c for c, kind in big.dtypes if "map<" not in kind]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))

@@ -227,8 +227,8 @@ def schedule_match(t: Tables):
         F.md5((k % 200).cast("string")).alias("file_md5"), k.alias("row_id"), F.col("p_brand").alias("sheet"), F.col("p_name").alias("task"), F.col("p_type").alias("detail"),
         F.lit("").alias("raw_text"), F.element_at(F.array(*[F.lit(p[0]) for p in C.PROFILES]), (k % 200 % 4 + 1).cast("int")).alias("kb_profile"), (F.col("p_size") / 100).alias("confidence"))
     q = asked(t).withColumn("user_id", F.col("query_id") % 20 + 1).withColumn("query", F.when(F.col("query_id") % 6 == 0, "?").otherwise(F.col("query")))
-    from marginalia.operators.acl import readable_files
-    return E.schedule_matches(rows, q, readable_files(users_with_tokens(t), files_with_tokens(t))).select("query_id", "row_id", "score", "rank")
+    q = q.join(users_with_tokens(t).select("user_id", "tokens"), "user_id")
+    return E.schedule_matches(rows, q, files_with_tokens(t)).select("query_id", "row_id", "score", "rank")
 
 
 SCHED = {
@@ -312,9 +312,8 @@ EXP = {
 
 
 def timeline(t: Tables):
-    from marginalia.operators.acl import readable_files
     i = M.experience_items(experience_chunks(t), 202406).withColumnRenamed("source_chunk_id", "id")
-    r = M.recent_items(i, readable_files(users_with_tokens(t), files_with_tokens(t)), (F.col("user_id") % 30 - 2).cast("int"), F.lit("2024-06-15").cast("timestamp_ntz"), F.col("user_id") % 2 == 0)
+    r = M.recent_items(i, users_with_tokens(t), files_with_tokens(t), (F.col("user_id") % 30 - 2).cast("int"), F.lit("2024-06-15").cast("timestamp_ntz"), F.col("user_id") % 2 == 0)
     return r.select("user_id", "id", "text_content", "rank")
 
 
