@@ -312,7 +312,9 @@ QUERIES = {
     "r08_single_pass": (one_pass, prune(f"""SELECT {CHUNK}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_md5, chunk_id) AS rank FROM (
       SELECT {CHUNK}, round(0.7::double * coalesce(c.cosv, 0) + 0.3::double * coalesce("match", 0) + 0.39::double * coalesce(phrase, 0) + 0.21::double * coalesce(prefix, 0), 6) AS score
       FROM (SELECT * FROM sc WHERE "match" > 0 OR phrase > 0 OR prefix > 0) s FULL JOIN (SELECT q.query_id, f.file_md5, 0 AS chunk_id, list_cosine_similarity(e.embedding::double[], x.embedding::double[]) AS cosv
-        FROM qq q JOIN embeddings x ON x.vec_id = q.query_id JOIN visible v ON v.user_id = q.user_id JOIN files f ON f.file_md5 = v.file_md5 JOIN embeddings e ON e.vec_id = f.doc_id) c USING (query_id, file_md5, chunk_id))) WHERE rank <= 10""", QS)),
+        FROM qq q JOIN embeddings x ON x.vec_id = q.query_id JOIN visible v ON v.user_id = q.user_id JOIN files f ON f.file_md5 = v.file_md5 JOIN embeddings e ON e.vec_id = f.doc_id
+        UNION ALL SELECT q.query_id, c.file_md5, c.chunk_id, 0 FROM qq q JOIN visible v ON v.user_id = q.user_id JOIN chunks c ON c.file_md5 = v.file_md5 JOIN files f ON f.file_md5 = v.file_md5
+        LEFT JOIN embeddings e ON e.vec_id = f.doc_id AND c.chunk_id = 0 LEFT JOIN embeddings x ON x.vec_id = q.query_id WHERE e.vec_id IS NULL OR x.vec_id IS NULL) c USING (query_id, file_md5, chunk_id))) WHERE rank <= 10""", QS)),
     "r09_channel_weights": (weights, with_tables("""SELECT question_id, round(0.85::double * w_vector / (w_vector + w_bm25), 9) AS w_vector, round(0.85::double * w_bm25 / (w_vector + w_bm25), 9) AS w_bm25,
       0.15::double AS w_entity, round((1 - v) * (w_vector + w_bm25) / (w_vector + w_bm25 + w_relation), 9) AS f_hybrid,
       round((1 - v) * w_relation / (w_vector + w_bm25 + w_relation), 9) AS f_relation, v AS f_visual
