@@ -210,15 +210,21 @@ def intent(q: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     def has(name):
         return any_contained(t, kw[name])
 
-    layout_hits = count_contained(t, kw["LAYOUT_QUERY_KEYS"])
-    flow_hits = count_contained(t, kw["FLOW_QUERY_KEYS"])
+    return first_intent(
+        has("COMPARE_QUERY_KEYS"), has("STATISTICS_QUERY_KEYS"), has("SCHEDULE_QUERY_KEYS"),
+        count_contained(t, kw["LAYOUT_QUERY_KEYS"]), count_contained(t, kw["FLOW_QUERY_KEYS"]), has("TIMELINE_QUERY_KEYS"),
+    )
+
+
+def first_intent(compare: Column, statistics: Column, schedule: Column, layout_hits: Column, flow_hits: Column, timeline: Column) -> Column:
+    """The priority of the intents, given what a question contains."""
     return (
-        F.when(has("COMPARE_QUERY_KEYS"), "compare_query")
-        .when(has("STATISTICS_QUERY_KEYS"), "statistics_query")
-        .when(has("SCHEDULE_QUERY_KEYS"), "schedule_query")
+        F.when(compare, "compare_query")
+        .when(statistics, "statistics_query")
+        .when(schedule, "schedule_query")
         .when((layout_hits > 0) & (layout_hits >= flow_hits), "layout_query")
         .when(flow_hits > 0, "flow_query")
-        .when(has("TIMELINE_QUERY_KEYS"), "timeline_query")
+        .when(timeline, "timeline_query")
         .otherwise("fact_lookup")
     )
 

@@ -1,4 +1,4 @@
-"""Keyword tables: defaults with overrides (N03), and reading them back for classification."""
+"""Keyword tables: defaults with overrides (N03), and classification by such a table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia import constants as C
+from marginalia.functions.questions import first_intent
 from marginalia.functions.text import strip
-
-MAX_TERMS = 10_000
+from marginalia.plans.joins import contains_matches
 
 
 def default_keywords(spark: SparkSession) -> DataFrame:
@@ -27,12 +27,14 @@ def merge_keywords(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     return kept.select("category", "term").unionByName(usable)
 
 
-def keyword_lists(table: DataFrame, limit: int = MAX_TERMS) -> dict[str, list[str]]:
-    """The merged table as word lists for `questions.intent`; refuses tables past the limit."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"keyword table has more than {limit} terms")
-    out: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        out.setdefault(r["category"], []).append(r["term"])
-    return out
+def intents(questions: DataFrame, table: DataFrame) -> DataFrame:
+    """The intent of every question (question_id, question) by a keyword table of any size."""
+    text = F.lower(strip(F.coalesce("question", F.lit(""))))
+    hit = contains_matches(questions, text, table, ["question_id"])
+    kinds = [f"{k}_QUERY_KEYS" for k in ("COMPARE", "STATISTICS", "SCHEDULE", "LAYOUT", "FLOW", "TIMELINE")]
+    counts = hit.join(table.filter(F.col("category").isin(kinds)), "term").groupBy("question_id").agg(
+        *[F.count_if(F.col("category") == k).alias(k) for k in kinds]
+    )
+    n = [F.coalesce(k, F.lit(0)) for k in kinds]
+    chosen = first_intent(n[0] > 0, n[1] > 0, n[2] > 0, n[3], n[4], n[5] > 0)
+    return questions.select("question_id").join(counts, "question_id", "left").select("question_id", chosen.alias("intent"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions import questions as Q
-from marginalia.operators.keywords import default_keywords, merge_keywords
+from marginalia.operators.keywords import default_keywords, intents as intents_by_table, merge_keywords
 from marginalia.operators.usage import usage_rows
 from marginalia.plans.oracle import has_any, lit, n_hits, rr, sql_list, strip, with_tables
 from marginalia.plans.tables import Tables
@@ -178,9 +178,16 @@ def keyword_overrides(t: Tables):
     return merge_keywords(default_keywords(t.spark), t.raw("part").select(cat.alias("category"), term.alias("term")))
 
 
+def table_intents(t: Tables):
+    """All questions by the merged keyword table."""
+    return intents_by_table(t.questions().select("question_id", "question"), keyword_overrides(t))
+
+
 _DEFAULTS = " UNION ALL ".join(
     f"SELECT {lit(c)} AS category, unnest({sql_list(w)}) AS term" for c, w in KW.items() if c != "COMPARE_QUERY_KEYS"
 )
+_MERGED = f"""SELECT category, term FROM ({_DEFAULTS})
+      UNION ALL SELECT DISTINCT 'COMPARE_QUERY_KEYS', lower(p_name) FROM part WHERE p_size % 3 = 0"""
 
 
 def shaped_usage(t: Tables):
@@ -213,7 +220,11 @@ QUERIES = {
         + " AS strong, coalesce((SELECT string_agg(tok, ',' ORDER BY tok) FROM vari v WHERE v.question_id = q.question_id AND tok <> ''), '') AS variants FROM questions q", ANCHOR_STEPS)),
     "n01_n07_intents": (intents, INTENTS_SQL),
     "n02_rewrites": (rewrites, REWRITES_SQL),
-    "n03_keyword_overrides": (keyword_overrides, with_tables(f"""SELECT category, term FROM ({_DEFAULTS})
-      UNION ALL SELECT DISTINCT 'COMPARE_QUERY_KEYS', lower(p_name) FROM part WHERE p_size % 3 = 0""")),
+    "n03_keyword_overrides": (keyword_overrides, with_tables(_MERGED)),
+    "n03_table_intents": (table_intents, with_tables("""SELECT question_id, CASE WHEN c > 0 THEN 'compare_query' WHEN s > 0 THEN 'statistics_query' WHEN p > 0 THEN 'schedule_query'
+      WHEN l > 0 AND l >= f THEN 'layout_query' WHEN f > 0 THEN 'flow_query' WHEN t > 0 THEN 'timeline_query' ELSE 'fact_lookup' END AS intent
+      FROM (SELECT question_id, count(*) FILTER (category = 'COMPARE_QUERY_KEYS') AS c, count(*) FILTER (category = 'STATISTICS_QUERY_KEYS') AS s, count(*) FILTER (category = 'SCHEDULE_QUERY_KEYS') AS p,
+        count(*) FILTER (category = 'LAYOUT_QUERY_KEYS') AS l, count(*) FILTER (category = 'FLOW_QUERY_KEYS') AS f, count(*) FILTER (category = 'TIMELINE_QUERY_KEYS') AS t
+        FROM questions LEFT JOIN kt ON contains(lower(trim(question)), term) GROUP BY 1)""", {"kt": _MERGED})),
     "n08_usage_rows": (shaped_usage, USAGE_SQL),
 }

@@ -331,8 +331,8 @@ def analysis_blocks(t: Tables):
 def linked(t: Tables):
     pages = t.visual_pages().select(F.md5(F.col("visual_page_id").cast("string")).alias("file_md5"), F.concat(F.lit("img/"), F.col("visual_page_id")).alias("image_path"), "visual_page_id")
     found, skipped = S.link_analyses(payloads(t).filter("image_path is not null"), pages)
-    return found.groupBy(F.lit("persisted").alias("outcome")).agg(F.count("*").alias("n")).unionByName(
-        skipped.groupBy(F.lit("skipped").alias("outcome")).agg(F.count("*").alias("n")))
+    row = lambda df, page, outcome: df.select("file_md5", "image_path", page.alias("visual_page_id"), F.lit(outcome).alias("outcome"))
+    return row(found, F.col("visual_page_id").cast("long"), "persisted").unionByName(row(skipped, F.lit(-1).cast("long"), "skipped"))
 
 
 def graphs(t: Tables):
@@ -372,7 +372,8 @@ QUERIES = {
     "c11_f31_analysis_blocks": (analysis_blocks, with_tables("""SELECT 'diagram_page' AS type, count(*) AS n, count(*) AS n_files FROM asx UNION ALL SELECT 'diagram_summary', count(*), count(*) FROM asx
       UNION ALL SELECT 'diagram_projection', count(*), count(*) FROM asx WHERE img AND score >= 60 UNION ALL SELECT 'diagram_node', sum(len(nodes))::bigint, count(*) FROM asx
       UNION ALL SELECT 'diagram_edge', sum(n_edges)::bigint, count(*) FROM asx""", ANALYSIS)),
-    "j07_link_analyses": (linked, """SELECT CASE WHEN vec_id IS NULL THEN 'skipped' ELSE 'persisted' END AS outcome, count(*) AS n FROM part LEFT JOIN embeddings ON vec_id = p_partkey WHERE p_partkey % 8 <> 0 GROUP BY 1"""),
+    "j07_link_analyses": (linked, """SELECT md5(p_partkey::varchar) AS file_md5, 'img/' || p_partkey AS image_path, coalesce(vec_id, -1)::bigint AS visual_page_id, CASE WHEN vec_id IS NULL THEN 'skipped' ELSE 'persisted' END AS outcome
+      FROM part LEFT JOIN embeddings ON vec_id = p_partkey WHERE p_partkey % 8 <> 0"""),
     "g14_diagram_graphs": (graphs, with_tables("""SELECT file_md5, sheet || '/' || (row_no % 90) AS sheet, 'node' AS kind, arg_min(p_name, row_no) AS name, '-' AS dst FROM part_blocks WHERE row_no % 3 = 1 GROUP BY file_md5, sheet, row_no % 90, lower(replace(p_name, ' ', ''))
       UNION ALL SELECT file_md5, sheet || '/' || (row_no % 90), 'edge', p_brand, p_type FROM part_blocks WHERE row_no % 3 = 0""")),
 }

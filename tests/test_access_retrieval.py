@@ -62,7 +62,7 @@ def test_cosine_blocks_and_ties(spark):
     c = spark.createDataFrame(rows, "file_md5 string, chunk_id int, vector array<float>, file_tokens array<string>")
     q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], ["any"]) for i in range(9)], "query_id bigint, vector array<float>, tokens array<string>")
     one = sorted(map(tuple, V.cosine_top(c, q, 7).collect()))
-    many = sorted(map(tuple, V.cosine_top(c, q, 7, block=2).collect()))
+    many = sorted(map(tuple, V.cosine_top(c, q, 7, block=2, rows=5).collect()))
     assert one == many and len(one) == 63
     for qid in range(9):
         ranked = [(r[3], r[1]) for r in one if r[0] == qid]
@@ -110,3 +110,71 @@ def test_paths_take_first_edges_among_shortest(spark):
     asked = spark.createDataFrame([(1, "f", "s"), (1, "f", "t")], "search_id int, file_md5 string, node string")
     r = G.one_way(G.shortest_paths(asked, edges)).collect()
     assert len(r) == 1 and list(r[0]["path"]) == ["e0", "e9"] and r[0]["hops"] == 2 and not r[0]["reverse"]
+
+
+def test_first_paths_equal_all_paths_cut(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i % 2}", f"e{i:03d}", f"n{a:02d}", f"n{b:02d}") for i, (a, b) in enumerate(rng.integers(0, 24, (50, 2)))]
+    edges = spark.createDataFrame(rows, "file_md5 string, edge_id string, src string, dst string")
+    asked = spark.createDataFrame(
+        [(s, f"f{f}", f"n{n:02d}") for s in (1, 2) for f in (0, 1) for n in range(s, 24, 2)], "search_id int, file_md5 string, node string")
+    step = {}
+    for f, e, a, b in rows:
+        step.setdefault((f, a), []).append((e, b))
+
+    def best(f, start):
+        """Fewest hops, then first in edge order, to every node."""
+        seen, front = {start: ()}, {start: ()}
+        for _ in range(6):
+            grown = {}
+            for here, path in front.items():
+                for e, b in step.get((f, here), []):
+                    if b not in seen and (b not in grown or (*path, e) < grown[b]):
+                        grown[b] = (*path, e)
+            seen |= grown
+            front = grown
+        return {k: v for k, v in seen.items() if v}
+
+    want = set()
+    for s, f, n in asked.collect():
+        for target, path in best(f, n).items():
+            if (s, f, target) in {tuple(r) for r in asked.collect()}:
+                want.add((s, f, n, target, path))
+    got = {(r["search_id"], r["file_md5"], r["start"], r["target"], tuple(r["path"])) for r in G.shortest_paths(asked, edges).collect()}
+    assert got == want and max(len(w[4]) for w in want) > 3
+    row = lambda r: (r["search_id"], r["file_md5"], r["low"], r["high"], r["reverse"], tuple(r["path"]))
+    every = sorted(row(r) for r in G.one_way(G.shortest_paths(asked, edges)).collect())
+    few = sorted(row(r) for r in G.first_paths(asked, edges, 2).collect())
+    for s in (1, 2):
+        assert [r for r in few if r[0] == s][:2] == [r for r in every if r[0] == s][:2]
+
+
+def test_paths_through_a_hub(spark):
+    """100,000 edges at one node and 1,000 asked nodes: only the first pairs are formed."""
+    n = F.col("id")
+    into = spark.range(50_000).select(F.lit("f").alias("file_md5"), F.format_string("i%06d", n).alias("edge_id"), F.format_string("a%06d", n).alias("src"), F.lit("hub").alias("dst"))
+    out = spark.range(50_000).select(F.lit("f").alias("file_md5"), F.format_string("o%06d", n).alias("edge_id"), F.lit("hub").alias("src"), F.format_string("b%06d", n).alias("dst"))
+    asked = spark.range(1_000).select(F.lit(1).alias("search_id"), F.lit("f").alias("file_md5"), F.when(n % 2 == 0, F.format_string("a%06d", n)).otherwise(F.format_string("b%06d", n)).alias("node"))
+    r = G.first_paths(asked, into.unionByName(out), 6).orderBy("low", "high").limit(6).collect()
+    assert [(x["low"], x["high"], list(x["path"])) for x in r] == [("a000000", f"b{i:06d}", ["i000000", f"o{i:06d}"]) for i in range(1, 12, 2)]
+
+
+def test_first_readable_is_enough(spark):
+    rows = spark.createDataFrame([(f"f{i % 7}", i) for i in range(60)], "file_md5 string, id int")
+    files = spark.createDataFrame([(f"f{i}", ["any", f"t:{i % 3}", "public"] if i % 2 else ["any", f"t:{i % 3}"]) for i in range(6)], "file_md5 string, file_tokens array<string>")
+    users = spark.createDataFrame([(1, ["any"]), (2, ["public", "t:0"]), (3, ["t:1"]), (4, ["none"])], "user_id int, tokens array<string>")
+    met = acl.first_readable(rows, users, files, [], [F.col("id")], 5, ["user_id", "file_md5", "id"]).collect()
+    tokens, held = dict(files.collect()), dict(users.collect())
+    for user, mine in held.items():
+        want = [i for f, i in sorted(map(tuple, rows.collect()), key=lambda r: r[1]) if set(tokens.get(f, [])) & set(mine)][:5]
+        assert sorted(r["id"] for r in met if r["user_id"] == user)[:5] == want
+    all_rows = users.select("user_id").join(rows, F.lit(True)).select("user_id", "file_md5", "id")
+    assert acl.readable_rows(all_rows, users, files, "user_id").filter("user_id = 4").count() == 0
+
+
+def test_zero_scores_stand_before_negative_cosines(spark):
+    chunks = spark.createDataFrame([("f", i, ["any"], f"w{i}") for i in range(4)], "file_md5 string, chunk_id int, file_tokens array<string>, text_content string")
+    vectors = spark.createDataFrame([("f", 0, [-1.0, 0.0], ["any"]), ("f", 1, [1.0], ["any"])], "file_md5 string, chunk_id int, vector array<float>, file_tokens array<string>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], ["any"]), (2, None, ["any"])], "query_id int, vector array<float>, tokens array<string>")
+    got = sorted(map(tuple, R._without_vector(chunks, vectors, q, 3).collect()))
+    assert {g[2] for g in got if g[0] == 1} == {1, 2, 3} and {g[2] for g in got if g[0] == 2} >= {0, 1, 2}
