@@ -3,6 +3,7 @@
 Base kinds are ``assign`` (a keyword, a sign and a value), ``access`` (key ids) and ``hex`` (long runs). The method adds
 ``guess``: the values alone, after a wider set of credential words and whatever characters they hold, whose cheapest
 segmentation (guesses.py) costs at least ``least`` (log10). Guessable values such as "changeme" are not reported by it.
+A value has any length: a quoted one ends at its closing quote, or at the line end, a key block at its end line.
 Base spans stay.
 
 Defined cases: a null or empty text has no spans; positions count code points; all text is scanned; repeated rows
@@ -25,10 +26,16 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer"""
+#: What stands between quotes up to the closing one, or the line end where none follows; a backslash takes the next character with it.
+_QUOTED = "|".join(rf"""{q}(?:SCHEME\x20+)?(?=(?:[^{q}\\\n]|\\[^\n]?){{6}}|[^{q}\n]{{6}})((?:[^{q}\\\n]|\\[^\n]?)++)""" for q in "\"'")
+#: A credential word, a sign and a value. A key block goes to its end line; a word that names a scheme is no value. Behind
+#: "bearer" a blank is sign enough where the value holds a digit or 20 characters, as words of prose do not.
+CONTEXT = re.compile((
+    r"""(?<![A-Za-z0-9])(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|bearer"""
     r"""|(?:api|access|auth|private|client|secret)[_\x20-]?(?:key|secret|token))["']?"""
-    r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20is\x20)(?:"([^"\n]{6,256})"|'([^'\n]{6,256})'|([^\s"'<>]{6,}))""", re.I | re.A)
+    r"""(?:\x20*(?:=>|:=|[:=])\x20*|\x20is\x20)|bearer\x20+(?=["']?(?:[^\s"'<>0-9]*+[0-9]|[^\s"'<>]{20})))"""
+    r"""(?:["']?(-----BEGIN[A-Z0-9\x20]*+-----(?:[^-]|-(?!----))*+-----END[A-Z0-9\x20]*+-----)"""
+    rf"""|{_QUOTED}|(?:SCHEME\x20+)?([^\s"'<>]{{6,}}))""").replace("SCHEME", "(?:bearer|basic|digest|negotiate|ntlm|token|apikey)"), re.I | re.A)
 #: Without one of these no credential word is there.
 ASSIGN_WORDS, CONTEXT_WORDS = ("password", "passwd", "secret", "token", "api"), ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key")
 #: log10 of the guesses from which a value counts as a secret.
