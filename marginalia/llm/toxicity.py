@@ -5,8 +5,8 @@ penalty, a counterfactual term: in labelled sentences that name a group of peopl
 of its list, and every change of the score that this causes is penalised. So a neutral mention of a group cannot carry
 weight of its own, however the labels happen to lean.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of doc_id, and uses the
-``FEATURES`` features that tell the classes apart best; both bounds are parameters and hold at every size, so what reaches
+The model is fitted on at most ``TRAIN_ROWS`` labelled doc_ids, those with the smallest hash, one text each however many rows
+share the doc_id, and uses the ``FEATURES`` features that tell the classes apart best; both bounds are parameters and hold at every size, so what reaches
 the driver is bounded. Every text is scored whole.
 
 Defined cases: a null or empty text has no features and scores the base rate; a null doc_id is never held out and never
@@ -80,11 +80,16 @@ class _Known(dict):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents outside the held-out quarter."""
+    """(text, toxic) of at most ``rows`` labelled documents outside the held-out quarter, one text for each doc_id.
+
+    Where rows share a doc_id the text with the smallest hash stands for them, chosen before anything is dealt by doc_id.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    own = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    return own.groupBy("doc_id").agg(first.alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def held_out(doc_id):

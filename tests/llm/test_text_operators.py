@@ -201,6 +201,15 @@ def test_toxicity_held_out_and_counterfactual(spark):
     assert gap[0] < gap[1] / 2
 
 
+def test_toxicity_training_rows_are_bounded_under_one_repeated_id(spark):
+    data, labels = labelled(60)
+    many = next(i for i, *_ in spark.createDataFrame(labels, LABELS).where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect())
+    docs = frame(spark, data + [(many, f"copy {i}", "en", "s0", 0) for i in range(200)] + [(many, None, None, None, None)] + data[:5] * 3)
+    got = toxicity.training_rows(docs, spark.createDataFrame(labels, LABELS), rows=20).collect()
+    again = toxicity.training_rows(docs.repartition(7), spark.createDataFrame(labels, LABELS), rows=20).collect()
+    assert len(got) == 20 and sorted(got, key=repr) == sorted(again, key=repr)
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark)
     nobody = spark.createDataFrame([], LABELS)
