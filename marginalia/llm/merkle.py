@@ -4,7 +4,8 @@ A paragraph ends with its line break; its digest is the head of its SHA-256. A s
 ends in 0 to 3, so sections are cut by content and fall in step again behind an edit; its digest is that of its paragraphs'
 digests, and the root is that of the sections' digests. Roots are equal if and only if texts are (up to collisions of 128
 bits); where roots differ, sections and then paragraphs that differ locate the edit (``edits``). Below the tree stands a
-sketch: 24-bit hashes of the clauses, from which the likeness of two texts is read (Dice coefficient of the two sets).
+sketch: 24-bit hashes of the clauses, repeats included, from which the likeness of two texts is read (Dice coefficient of
+the two bags). Clauses of more than LONG characters are cut further by content, so texts without punctuation have one, too.
 
 A fingerprint is root ":" sections joined by "/", each its paragraphs' digests (8 digits) joined by "." ":" sketch (6 digits
 a clause).
@@ -21,7 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Code points that end a clause.
-CLAUSE = r"(?<=[.!?,;:\n])"
+CLAUSE = r"(?<=[.!?,;:\n\r\x{2028}\x{3002}\x{3001}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}\x{FF64}\x{0964}\x{060C}\x{061B}\x{061F}\x{06D4}])"
+WORD = r"(?<=[\s\x{3000}])"
+#: Characters from which a clause is cut further, and of a piece where its content gives no place to cut.
+LONG, WIDTH = 32, 16
+#: Marks a cut; in a text it is a cut, too.
+CUT = "\x01"
 PARAGRAPH = r"(?<=\n)"
 SECTION = r"(?<=[0-3]),"
 #: Parts into which documents that share one doc_id, or have none, are dealt.
@@ -34,9 +40,26 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda x: x != "")
 
 
+def _hash(x: Column, bits: int) -> Column:
+    return F.xxhash64(x).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _cut_long(clause: Column) -> Column:
+    """The pieces of a clause longer than LONG: cut behind words whose hash ends in 00, inside words longer than LONG behind
+    characters whose hash with the two before ends in 0000, and where no such place comes within LONG, every WIDTH characters."""
+    behind = lambda unit, key, bits: F.when(_hash(key, bits) == 0, F.concat(unit, F.lit(CUT))).otherwise(unit)
+    before = lambda chars, i, k: F.coalesce(F.get(chars, i - k), F.lit(""))
+    inside = lambda word: F.array_join(F.flatten(F.transform(F.array(F.split(word, "")), lambda chars: F.transform(
+        chars, lambda c, i: behind(c, F.concat(before(chars, i, 2), before(chars, i, 1), c), 4)))), "")
+    marked = F.array_join(F.transform(F.split(clause, WORD), lambda w: F.when(F.length(w) > LONG, inside(w)).otherwise(behind(w, w, 2))), "")
+    return F.flatten(F.transform(F.filter(F.split(marked, CUT), lambda x: x != ""), lambda x: F.when(
+        F.length(x) > LONG, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0))).otherwise(F.array(x))))
+
+
 def clauses(text: Column) -> Column:
-    """24-bit hashes of the different clauses, in order of first appearance."""
-    return F.array_distinct(F.transform(_parts(text, CLAUSE), lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")))
+    """24-bit hashes of the clauses in order, each as often as it occurs; long clauses are cut further."""
+    short = F.transform(_parts(text, CLAUSE), lambda x: F.when(F.length(x) > LONG, _cut_long(x)).otherwise(F.array(x)))
+    return F.transform(F.flatten(short), lambda x: _hash(x, 24).cast("int"))
 
 
 def paragraphs(text: Column) -> Column:
@@ -55,9 +78,21 @@ def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two sketches."""
+    """Dice coefficient of two sketches; a clause counts as often as it occurs in both."""
     total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+    tagged = lambda xs, tag: F.transform(xs, lambda x: x.cast("long") * 2 + tag)
+    # sorted, the copies in a stand before those in b: left are the copies in a that no copy in b has met yet
+    start = F.struct(F.lit(-1).cast("long").alias("hash"), F.lit(0).alias("left"), F.lit(0).alias("common"))
+
+    def step(s: Column, x: Column) -> Column:
+        hash_, own = F.shiftright(x, 1), x.bitwiseAND(F.lit(1)) == 0
+        known = F.when(s["hash"] == hash_, s["left"]).otherwise(0)
+        met = ~own & (known > 0)
+        return F.struct(hash_.alias("hash"), F.when(own, known + 1).when(met, known - 1).otherwise(known).alias("left"),
+                        F.when(met, s["common"] + 1).otherwise(s["common"]).alias("common"))
+
+    common = F.aggregate(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), start, step, lambda s: s["common"])
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total)
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -98,6 +98,27 @@ def test_branches_locate_edits(spark):
     assert before + r[0].changed[0].paragraph == 17
 
 
+def test_likeness_of_one_line_and_repeated_clauses(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    signs = lambda n: "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    one = line(300)
+    # (text, edited text, unrelated text)
+    data = [(t, t[:len(t) - len(t) // 3] + o[:len(t) // 3], o) for t, o in [
+        (one, line(300)), (line(12), line(12)), ("spam " * 400, line(300)), ("Buy now. " * 200, line(300)), (signs(900), signs(900)),
+        ("x" * 3000, line(300)), (signs(200) + "\u3002" + signs(200), signs(400)), ("y" * 40 + ", z", line(10))]]
+    data += [(one, "new words in front " + one, line(300)), (data[4][0], signs(7) + data[4][0], signs(900))]
+    df = spark.createDataFrame(data, "own string, edited string, other string")
+    got = df.select(merkle.likeness(*map(merkle.clauses, (F.col("own"), F.col("edited")))).alias("near"),
+                    merkle.likeness(*map(merkle.clauses, (F.col("own"), F.col("other")))).alias("far")).collect()
+    assert all(r.near > r.far for r in got), got
+    assert all(r.near > 0.5 for r in got[2:6] + got[:1]) and all(r.near > 0.9 for r in got[-2:]), got
+    bags = [([1, 1, 1, 2], [1, 1, 3]), ([], []), ([5], []), ([0, 0, 7], [0, 7, 7])]
+    near = spark.createDataFrame(bags, "a array<int>, b array<int>").select(merkle.likeness(F.col("a"), F.col("b")).alias("near")).collect()
+    assert [r.near for r in near] == pytest.approx([4 / 7, 1, 0, 4 / 6])
+
+
 def test_merkle_plan_is_native(spark):
     plan = merkle.fingerprint(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
