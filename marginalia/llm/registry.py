@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, decontaminate, merkle, packing, pii, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, merkle, mixing, packing, pii, secret_scan, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_weak_supervision_pii": pii.op8,
         "op9_counterfactual_toxicity": toxicity.op9,
         "op10_simhash_near_duplicates": simhash.op10,
+        "op11_capped_mixing": mixing.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op7_fm_index_decontamination": decontaminate.SQL}
+    return {"op3_warc": warc.SQL, "op7_fm_index_decontamination": decontaminate.SQL,
+            "op11_capped_mixing": mixing.SQL}
