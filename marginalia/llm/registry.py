@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bpe, decontaminate, merkle, mixing, packing, pii, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import (
+    bpe, decontaminate, lexical, merkle, mixing, negatives, packing, pii, secret_scan, sharding, simhash, toxicity, warc,
+)
 
 
 def queries() -> dict:
@@ -18,9 +20,12 @@ def queries() -> dict:
         "op9_counterfactual_toxicity": toxicity.op9,
         "op10_simhash_near_duplicates": simhash.op10,
         "op11_capped_mixing": mixing.op11,
+        "op12_pair_bound_maxscore": lexical.op12,
+        "op13_gnat_hard_negatives": negatives.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_warc": warc.SQL, "op7_fm_index_decontamination": decontaminate.SQL,
-            "op11_capped_mixing": mixing.SQL}
+            "op11_capped_mixing": mixing.SQL,
+            "op12_pair_bound_maxscore": lexical.SQL, "op13_gnat_hard_negatives": negatives.SQL}
