@@ -29,6 +29,7 @@ from math import floor, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def built(counts: DataFrame, plan: Plan) -> DataFrame:
             nonlocal held, docs, postings
             whole = pa.Table.from_batches(held).combine_chunks()
             terms, times = (pa.concat_arrays(whole.column(c).chunks) if whole.column(c).num_chunks > 1 else whole.column(c).chunk(0) for c in ("terms", "times"))
-            lengths = np.asarray(pa.compute.list_value_length(terms))
+            lengths = np.asarray(pc.list_value_length(terms))
             block = block_of(whole.column("doc_id").to_pylist(), whole.column("n").to_numpy(), np.append(0, np.cumsum(lengths)),
                              np.asarray(terms.flatten()), np.asarray(times.flatten()), plan)
             held, docs, postings = [], 0, 0
@@ -203,7 +204,7 @@ def built(counts: DataFrame, plan: Plan) -> DataFrame:
                  for name, v in vars(block).items()], names=list(vars(block)))
 
         for batch in batches:
-            sizes = np.asarray(pa.compute.list_value_length(batch.column("terms"))) if len(batch) else np.array([], np.int64)
+            sizes = np.asarray(pc.list_value_length(batch.column("terms"))) if len(batch) else np.array([], np.int64)
             at = 0
             while at < len(batch):
                 upto = np.cumsum(sizes[at:at + BLOCK_DOCS - docs]) + postings

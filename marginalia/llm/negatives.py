@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ def prepared(rows: DataFrame, vector: Column, vec_id: str = "vec_id", label: str
 
 def matrix(column: pa.Array, dim: int, dtype: str) -> np.ndarray:
     """Rows of integers, shorter ones filled with zeros."""
-    sizes = np.asarray(pa.compute.list_value_length(column), np.int64)
+    sizes = np.asarray(pc.list_value_length(column), np.int64)
     flat = np.asarray(column.flatten())
     out = np.zeros((len(sizes), dim), dtype)
     at = np.repeat(np.arange(len(sizes)), sizes)
