@@ -40,6 +40,17 @@ def add_columns(df: DataFrame, make: Callable, fields: Sequence[T.StructField],
     return df.mapInArrow(run, schema)
 
 
-def text_of(df: DataFrame, text: str = "text"):
-    """The text as a column, null as empty."""
-    return F.coalesce(df[text], F.lit(""))
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The caller's columns as c0, c1, ..., so that no name of theirs meets one of an operator's, and the names they had."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[column(c).alias(n) for c, n in names.items()]), names
+
+
+def back(df: DataFrame, names: dict[str, str], *more) -> DataFrame:
+    """The caller's columns under their own names, and what is added to them."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
+
+
+def column(name: str):
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

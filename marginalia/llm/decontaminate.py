@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import add_columns
+from marginalia.llm.common import add_columns, aside, back
 from marginalia.session import stored
 
 WINDOW, SAMPLE = 13, 8
@@ -320,10 +320,8 @@ def contaminated():
 
 def without(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the contamination rule keeps, with their columns."""
-    names = {f.name for f in FIELDS}
-    own = docs.select(*[F.col(c).alias(f"_{c}" if c in names else c) for c in docs.columns])
-    kept = find(own, benchmark, text).where(~contaminated())
-    return kept.select(*[F.col(f"_{c}").alias(c) if c in names else F.col(c) for c in docs.columns])
+    own, names = aside(docs)
+    return back(find(own, benchmark, names[text]).where(~contaminated()), names)
 
 
 def removed(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

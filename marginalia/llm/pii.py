@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import aside, back, column
 from marginalia.session import stored
 
 BASE = ("email", "ip", "card", "phone")
@@ -223,8 +224,9 @@ def probability(x: Column, model: dict) -> Column:
 
 def find(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The kept columns and ``found``: spans (start, rank of kind, kind, end, probability), sorted by start and kind."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "found"]
-    judged = stored(candidates(docs, text, kept), "pii")
+    own, names = aside(docs.select(*[column(c) for c in dict.fromkeys([*(docs.columns if keep is None else keep), text])]))
+    kept = {c: names[c] for c in (docs.columns if keep is None else keep) if c != "found"}
+    judged = stored(candidates(own, names[text], list(kept.values())), "pii")
     model = train(counts(judged))
     listed = {k: i for i, k in enumerate(BASE)}
     rank = lambda k: F.coalesce(*[F.when(k == b, i) for b, i in listed.items()], F.lit(len(BASE)))
@@ -232,7 +234,7 @@ def find(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, keep
         x["start"].alias("start"), rank(x["kind"]).alias("rank"), F.when(x["kind"].isin(*BASE), x["kind"]).otherwise("likely").alias("kind"),
         x["end"].alias("end"), probability(x, model).alias("probability")))
     found = F.filter(scored, lambda x: (x["kind"] != "likely") | (x["probability"] >= threshold))
-    return judged.select(*kept, F.array_sort(found).alias("found"))
+    return back(judged, kept, F.array_sort(found).alias("found"))
 
 
 def op8(spark, sf_dir):

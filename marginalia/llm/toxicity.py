@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import add_columns, texts
+from marginalia.llm.common import add_columns, aside, back, texts
 from marginalia.session import ship, stored
 
 TRAIN_ROWS, FEATURES, THRESHOLD = 8_000, 1_500, 0.3
@@ -45,10 +45,23 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "autistic"),
     ("old", "young", "elderly", "teenage"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "katholisch"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "athées"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "ateos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 WORDS = re.compile(r"[^\W_]+")
 SENTENCES = re.compile(r"[^.!?\n]+")
-SWAPS = {w: [o for o in terms if o != w] for terms in IDENTITY_TERMS for w in terms}
+SWAPS = {w: sorted({o for terms in IDENTITY_TERMS if w in terms for o in terms if o != w}) for own in IDENTITY_TERMS for w in own}
 
 
 def features_of(word: str) -> list[str]:
@@ -146,25 +159,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
     chosen = [r[0] for r in _counts(train).where("n >= 3").orderBy((gap / spread).desc(), "feature").limit(features).collect()]
     chosen += [f for f in sorted({f for w in SWAPS for f in features_of(w)}) if f not in set(chosen)]
     numbers = {f: i for i, f in enumerate(chosen)}
-    schema = "toxic int, present array<int>, swaps string"
+    schema = "toxic int, present array<int>"
 
     def encode(batches):
         known = _Known(numbers)
         for batch in batches:
-            body = texts(batch, "text")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([known.present(t) for t in body], pa.list_(pa.int32())),
-                 pa.array([json.dumps(swaps_in(t, known)) for t in body], pa.string())], names=["toxic", "present", "swaps"])
+                [batch.column("toxic"), pa.array([known.present(t) for t in texts(batch, "text")], pa.list_(pa.int32()))], names=["toxic", "present"])
+
+    def swap(batches):
+        known = _Known(numbers)
+        for batch in batches:
+            n = Counter(json.dumps(c) for t in texts(batch, "text") for c in swaps_in(t, known))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["change", "n"])
 
     data = train.mapInArrow(encode, schema).collect()  # at most ``rows`` rows of at most ``features`` numbers
     x, y = np.zeros((len(data), len(chosen)), np.float32), np.array([r.toxic for r in data], np.float32)
-    changes: Counter = Counter()
     for i, r in enumerate(data):
         x[i, r.present] = 1
-        changes.update((tuple(lost), tuple(gained)) for lost, gained in json.loads(r.swaps))
-    d, n = np.zeros((len(changes), len(chosen)), np.float32), np.array(list(changes.values()), np.float32)
-    for i, (lost, gained) in enumerate(changes):
-        d[i, list(lost)], d[i, list(gained)] = -1, 1
+    # different changes: two words of a list and which of their few features the sentence has otherwise, so the lists bound them
+    changes = train.mapInArrow(swap, "change string, n long").groupBy("change").agg(F.sum("n").alias("n")).orderBy("change").collect()
+    d, n = np.zeros((len(changes), len(chosen)), np.float32), np.array([r.n for r in changes], np.float32)
+    for i, r in enumerate(changes):
+        lost, gained = json.loads(r.change)
+        d[i, lost], d[i, gained] = -1, 1
     w, b = _descend(x, y, d, n / max(n.sum(), 1), counterfactual, penalty)
     return {"bias": b, "weights": {f: float(v) for f, v in zip(chosen, w) if abs(v) > 1e-6}}
 
@@ -206,10 +224,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | No
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents whose score is below the threshold, with their columns."""
-    columns = docs.columns
-    own = docs if "score" not in columns else docs.withColumnRenamed("score", "_score")
-    scored = score(own, fit(docs, labels, text=text), text).where(F.col("score") < threshold).drop("score")
-    return (scored.withColumnRenamed("_score", "score") if "score" in columns else scored).select(*columns)
+    own, names = aside(docs)
+    return back(score(own, fit(docs, labels, text=text), names[text]).where(F.col("score") < threshold), names)
 
 
 def op9(spark, sf_dir):

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from data import LABELS, ascii_lower, frame, prose, rows, store
-from marginalia.llm import bpe, decontaminate, merkle, packing, secret_scan, sharding, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, merkle, packing, pii, secret_scan, sharding, simhash, toxicity, warc
 
 
 def test_packing_places_as_best_fit_decreasing_does():
@@ -340,3 +341,48 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
                benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, sf).count() == 0
     assert bpe.encode(frame(spark, [])).count() == 0
+
+
+NAMES = ["component_id", "first_row", "_fp", "_row", "score", "_score", "items", "_items", "n_words", "n_hit", "spans", "hit_words", "_text", "_paragraphs",
+         "_sections", "_h", "_o", "_d", "_copy", "c0", "c1", "a.b", "found_", "candidates", "_all", "_company", "_email", "key", "fp", "doc", "text2"]
+
+
+def with_names(spark, data):
+    return frame(spark, data).select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in NAMES])
+
+
+def names_kept(df, columns):
+    assert df.columns == columns
+    out = [r.asDict() for r in df.collect()]
+    for r in out:
+        for n in NAMES:
+            assert r[n] == f"{n}:{'-' if r['doc_id'] is None else r['doc_id']}", n
+    return out
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    data = rows(n=30)
+    docs = with_names(spark, data)
+    benchmark = spark.createDataFrame([("a", data[0][1])], "item_id string, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(30)], LABELS)
+    plain = frame(spark, data)
+    assert len(names_kept(simhash.first_of_group(docs), docs.columns)) == simhash.first_of_group(plain).count()
+    assert len(names_kept(decontaminate.without(docs, benchmark), docs.columns)) == decontaminate.without(plain, benchmark).count()
+    assert len(names_kept(toxicity.clean(docs, labels), docs.columns)) == toxicity.clean(plain, labels).count()
+    found = names_kept(pii.find(docs), [*docs.columns, "found"])
+    assert len(found) == len(data)
+
+
+def test_grids_stay_few(spark):
+    assert [len(list(combinations(range(simhash.groups_for(10 ** e)), 4))) for e in (4, 6, 8, 10)] == [15, 15, 35, 126]
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 5))) for b in base for _ in range(4)]
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in base + near})
+    want = {(a, b) for a in fps for b in fps if a > b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    for g in (6, 9):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), g)).collect()}
+        of = lambda f: roots.get(f, f)
+        assert all(of(a) == of(b) for a, b in want)
+        linked = {f for pair in want for f in pair}
+        assert set(roots) <= linked
