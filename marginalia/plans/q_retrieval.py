@@ -292,6 +292,20 @@ QS = query_steps("SELECT * FROM queries")
 QS2 = query_steps("SELECT query_id, user_id, query FROM queries UNION ALL SELECT -doc_id - 1, doc_id % 20 + 1, text FROM documents WHERE length(text) <= 24")
 QSV = query_steps("SELECT * REPLACE (query || ' sheet_' || (query_id % 10) AS query) FROM queries")
 CHUNK = "query_id, file_md5, chunk_id"
+PAGE_STEPS = {
+    "bp": """SELECT file_md5, document_unit_key, arg_min(text_content, {'s': -quality_score, 'p': parent_chunk_id}) AS parent FROM unit_parents WHERE quality_status IN ('accepted', 'weak') GROUP BY 1, 2""",
+    "ft": f"SELECT visual_page_id, fld, bst, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT visual_page_id, fld, bst, len(l) AS dl, unnest(l) AS term FROM (SELECT visual_page_id, 'label' AS fld, 0.35::double AS bst, regexp_extract_all(lower(page_label), '{W}') AS l FROM visual_pages UNION ALL SELECT visual_page_id, 'sheet', 0.30::double, regexp_extract_all(lower(sheet), '{W}') FROM visual_pages)) GROUP BY 1, 2, 3, 4",
+    "fdf": "SELECT fld, term, count(*) AS df FROM ft GROUP BY 1, 2",
+    "fsz": "SELECT fld, count(DISTINCT visual_page_id) AS n, sum(tf)::double / count(DISTINCT visual_page_id) AS avg_dl FROM ft GROUP BY 1",
+    "fm": """SELECT query_id, visual_page_id, sum(bst * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avg_dl))) AS s
+      FROM qt JOIN ft USING (term) JOIN fdf USING (fld, term) JOIN fsz USING (fld) GROUP BY 1, 2""",
+    "vis": """SELECT p.visual_page_id, q.query_id FROM visual_pages p JOIN qq q ON p.kb_profile = q.profile JOIN users u ON u.user_id = q.user_id
+      WHERE p.status = 'indexed' AND p.quality_status IN ('accepted', 'weak') AND (u.role = 'ADMIN' OR p.user_id = u.user_id OR p.is_public OR p.org_tag = 'DEFAULT'
+        OR EXISTS (SELECT 1 FROM user_tags t WHERE t.user_id = u.user_id AND t.tag_id = p.org_tag))""",
+    "vs": """SELECT query_id, p.*, round(list_cosine_similarity(p.vector::double[], x.embedding::double[]) + 1 + coalesce(s, 0), 9) AS raw FROM vis JOIN visual_pages p USING (visual_page_id)
+      JOIN embeddings x ON x.vec_id = query_id LEFT JOIN fm USING (query_id, visual_page_id)""",
+    "vr": "SELECT *, round(raw + 0.08::double, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, visual_page_id) AS rank FROM vs",
+}
 CASE_STEPS = {
     **QS,
     "jd": """SELECT query_id, rank, (file_md5 = md5(query_id::varchar) OR contains(lower(text_content), lower(text))
@@ -333,19 +347,7 @@ QUERIES = {
           WHERE EXISTS (SELECT 1 FROM frm f WHERE f.query_id = q.query_id AND contains(lower(c.text_content), f.f))"""})),
     "r13_p08_j05_page_search": (page_search, prune("""SELECT query_id, file_md5, -visual_page_id AS chunk_id, score, rank,
       md5(coalesce(parent, '[visual_page] label=' || page_label || ' sheet=' || sheet)) AS text_md5
-      FROM vr LEFT JOIN bp USING (file_md5, document_unit_key) WHERE rank <= 8""", {**QSV,
-        "bp": """SELECT file_md5, document_unit_key, arg_min(text_content, {'s': -quality_score, 'p': parent_chunk_id}) AS parent FROM unit_parents WHERE quality_status IN ('accepted', 'weak') GROUP BY 1, 2""",
-        "ft": f"SELECT visual_page_id, fld, bst, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT visual_page_id, fld, bst, len(l) AS dl, unnest(l) AS term FROM (SELECT visual_page_id, 'label' AS fld, 0.35::double AS bst, regexp_extract_all(lower(page_label), '{W}') AS l FROM visual_pages UNION ALL SELECT visual_page_id, 'sheet', 0.30::double, regexp_extract_all(lower(sheet), '{W}') FROM visual_pages)) GROUP BY 1, 2, 3, 4",
-        "fdf": "SELECT fld, term, count(*) AS df FROM ft GROUP BY 1, 2",
-        "fsz": "SELECT fld, count(DISTINCT visual_page_id) AS n, sum(tf)::double / count(DISTINCT visual_page_id) AS avg_dl FROM ft GROUP BY 1",
-        "fm": """SELECT query_id, visual_page_id, sum(bst * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avg_dl))) AS s
-          FROM qt JOIN ft USING (term) JOIN fdf USING (fld, term) JOIN fsz USING (fld) GROUP BY 1, 2""",
-        "vis": """SELECT p.visual_page_id, q.query_id FROM visual_pages p JOIN qq q ON p.kb_profile = q.profile JOIN users u ON u.user_id = q.user_id
-          WHERE p.status = 'indexed' AND p.quality_status IN ('accepted', 'weak') AND (u.role = 'ADMIN' OR p.user_id = u.user_id OR p.is_public OR p.org_tag = 'DEFAULT'
-            OR EXISTS (SELECT 1 FROM user_tags t WHERE t.user_id = u.user_id AND t.tag_id = p.org_tag))""",
-        "vs": """SELECT query_id, p.*, round(list_cosine_similarity(p.vector::double[], x.embedding::double[]) + 1 + coalesce(s, 0), 9) AS raw FROM vis JOIN visual_pages p USING (visual_page_id)
-          JOIN embeddings x ON x.vec_id = query_id LEFT JOIN fm USING (query_id, visual_page_id)""",
-        "vr": "SELECT *, round(raw + 0.08::double, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, visual_page_id) AS rank FROM vs"})),
+      FROM vr LEFT JOIN bp USING (file_md5, document_unit_key) WHERE rank <= 8""", {**QSV, **PAGE_STEPS})),
     "r18_page_index_status": (page_index, with_tables("""SELECT file_md5, count(*) AS pages, count(*) FILTER (status = 'indexed') AS indexed,
       count(*) FILTER (status LIKE 'pending%') AS pending, 0 AS errors FROM visual_pages GROUP BY 1""")),
     "r17_x02_embed": (embedded, """SELECT conv_id, turn, CASE WHEN turn % 5 <> 4 THEN 3 END AS dim,
