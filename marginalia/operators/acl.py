@@ -63,6 +63,41 @@ def tag_paths(tags: DataFrame, ancestors: DataFrame) -> DataFrame:
     return path.join(children, "tag_id", "left").fillna(0, ["n_children"])
 
 
+def nested_tree(tags: DataFrame) -> DataFrame:
+    """(tag_id, tree) for every root: the tags below it as nested JSON, children in the order of their ids.
+
+    The tree is walked down level by level and folded up again; only levels are counted on the driver. Tags that hang below no
+    root (in a cycle, or below a parent that does not exist) are left out; see ``unrooted_tags``.
+    """
+    levels = _levels(tags)
+    below = None
+    for level in reversed(levels):
+        node = level.join(below, "tag_id", "left") if below is not None else level.withColumn("children", F.lit(None).cast("string"))
+        head = F.to_json(F.struct(F.col("tag_id").alias("tagId")))
+        tree = F.concat(F.left(head, F.length(head) - 1), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        done = node.select("tag_id", "parent_tag", tree.alias("tree"))
+        listed = F.array_sort(F.collect_list(F.struct("tag_id", "tree")))
+        below = cut(done.groupBy(F.col("parent_tag").alias("tag_id")).agg(F.array_join(F.transform(listed, lambda x: x["tree"]), ",").alias("children")))
+    return done.select("tag_id", "tree") if levels else tags.select("tag_id", F.lit("").alias("tree")).limit(0)
+
+
+def _levels(tags: DataFrame) -> list[DataFrame]:
+    own = tags.select("tag_id", "parent_tag")
+    level, out = cut(own.filter("parent_tag IS NULL")), []
+    while not level.isEmpty():
+        out.append(level)
+        level = cut(own.join(level.select(F.col("tag_id").alias("parent_tag")), "parent_tag").select("tag_id", "parent_tag"))
+    return out
+
+
+def unrooted_tags(tags: DataFrame) -> DataFrame:
+    """Tags that no root leads to."""
+    out = tags.select("tag_id", "parent_tag")
+    for level in _levels(tags):
+        out = out.join(level.select("tag_id"), "tag_id", "left_anti")
+    return out
+
+
 def user_tokens(role: Column, user_id: Column, org_tags: Column) -> Column:
     base = F.array(
         F.concat(F.lit("u:"), user_id.cast("string")), F.lit(PUBLIC), F.lit(f"t:{C.DEFAULT_TAG}")

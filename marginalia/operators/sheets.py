@@ -279,6 +279,41 @@ def match_pages(pages: DataFrame, sheets: DataFrame, tokens: DataFrame) -> DataF
     )
 
 
+def match_pages_weak(
+    pages: DataFrame, sheets: DataFrame, tokens: DataFrame,
+    min_score: int = C.SNAPSHOT["weak_min_score"], min_lead: int = C.SNAPSHOT["weak_min_lead"],
+) -> DataFrame:
+    """J14 without a literal name: the sheet that shares most tokens with the page, if it leads clearly.
+
+    pages: file_md5, page, text; sheets: file_md5, sheet, sheet_no; tokens: file_md5, sheet, token. A page chooses the sheet with
+    the most tokens that occur in its text, if these are ``min_score`` at least and ``min_lead`` more than the next sheet has.
+    Tokens open a page by their first two letters, ids only; the text is read once per page. Tokens that all sheets of a file
+    have add the same to each: they are counted per page, so pages and sheets are never paired by them.
+    """
+    t = tokens.select("file_md5", "sheet", "token").filter(F.length("token") >= 2).distinct()
+    n_sheets = sheets.groupBy("file_md5").agg(F.count("*").alias("n_sheets"), F.min_by("sheet", "sheet_no").alias("first_sheet"))
+    known = t.groupBy("file_md5", "token").agg(F.count("*").alias("held_by")).join(n_sheets, "file_md5")
+    p = pages.select("file_md5", "page", X.sheet_match_key(F.col("text")).alias("k"))
+    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: F.substr("k", i, F.lit(2)))
+    grams = p.select("file_md5", "page", F.explode(F.array_distinct(bigrams)).alias("g"))
+    near = grams.join(known.select("file_md5", "token", F.left("token", F.lit(2)).alias("g")), ["file_md5", "g"])
+    some = near.groupBy("file_md5", "page").agg(F.collect_list("token").alias("tokens"))
+    hit = p.join(some, ["file_md5", "page"]).select("file_md5", "page", F.explode(F.filter("tokens", lambda x: F.contains(F.col("k"), x))).alias("token"))
+    hit = hit.join(known, ["file_md5", "token"])
+    per_page = hit.groupBy("file_md5", "page").agg(
+        F.count_if(F.col("held_by") == F.col("n_sheets")).alias("shared"), F.max("n_sheets").alias("n_sheets"), F.max("first_sheet").alias("first_sheet"))
+    own = hit.filter("held_by < n_sheets").select("file_md5", "page", "token").join(t, ["file_md5", "token"])
+    own = own.groupBy("file_md5", "page", "sheet").agg(F.count("*").alias("own")).join(sheets.select("file_md5", "sheet", "sheet_no"), ["file_md5", "sheet"])
+    best = top_rows(own, ["file_md5", "page"], [F.col("own").desc(), F.col("sheet_no")], 2, "r").groupBy("file_md5", "page").agg(
+        F.max(F.when(F.col("r") == 1, F.col("sheet"))).alias("sheet"), F.max(F.when(F.col("r") == 1, F.col("own"))).alias("o1"),
+        F.max(F.when(F.col("r") == 2, F.col("own"))).alias("o2"))
+    out = per_page.join(best, ["file_md5", "page"], "left")
+    second = F.when(F.col("o2").isNotNull(), F.col("o2") + F.col("shared")).when((F.col("shared") > 0) & (F.col("n_sheets") > 1), F.col("shared")).otherwise(-1)
+    out = out.withColumns({"score": F.coalesce("o1", F.lit(0)) + F.col("shared"), "second": second, "sheet": F.coalesce("sheet", "first_sheet")})
+    return out.filter((F.col("score") >= max(1, min_score)) & (F.col("score") >= F.col("second") + max(0, min_lead))).select(
+        "file_md5", "page", "sheet", "score", "second")
+
+
 def backfill_pages(pages: DataFrame) -> DataFrame:
     """A page without sheet takes the sheet both of its neighbours agree on.
 

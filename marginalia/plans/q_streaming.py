@@ -24,22 +24,26 @@ def stream_of(t: Tables, name: str):
     return as_stream(t, name, t.raw(name))
 
 
-def as_stream(t: Tables, name: str, rows):
-    """A table as a stream of several files, one per micro-batch.
+def as_stream(t: Tables, name: str, rows, part=None):
+    """A table as a stream of several micro-batches, each of several files.
 
-    Tables with a time come in its order, the others by a hash of the row, so keys recur in later batches.
+    Tables with a time come in its order, the others by a hash of the row, so keys recur in later batches. ``part`` numbers the
+    batches otherwise.
     """
     path = scratch(t.spark, f"{name}-stream")
-    if name in ORDER:
+    if part is not None:
+        pass
+    elif name in ORDER:
         at = F.col(ORDER[name])
         at = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ORDER[name]})") if name == "events" else at
         bounds = rows.select(F.percentile_approx(at, [i / BATCHES for i in range(1, BATCHES)]).alias("b")).first()[0] or []
         part = sum(((at > b).cast("int") for b in bounds), F.lit(0))
     else:
         part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)).cast("int")
+    files = max(1, rows.rdd.getNumPartitions() // BATCHES)  # every batch has as many, so a trigger takes one batch
     for i in range(BATCHES):  # one after the other: the source takes files by age
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(part == i).repartition(files).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 class StreamTables(Tables):

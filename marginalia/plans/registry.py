@@ -8,7 +8,7 @@ from marginalia.plans.tables import Tables
 from marginalia.session import ship
 
 AREAS = ["q_text", "q_questions", "q_access", "q_evaluation", "q_structure", "q_retrieval", "q_graph", "q_sheets", "q_evidence",
-         "q_streaming", "q_routing"]
+         "q_streaming", "q_routing", "q_updates"]
 
 
 def _entries() -> dict:
