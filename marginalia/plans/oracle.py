@@ -110,8 +110,7 @@ TABLES = {
     "sheet_cells": """SELECT md5((o_custkey % 25)::varchar) AS file_md5, 'sheet_' || (o_custkey % 25) AS sheet,
       o_custkey::int AS "row", ((year(o_orderdate) - 1992) * 12 + month(o_orderdate))::int AS col,
       min(o_orderstatus) AS fill_sig FROM orders GROUP BY ALL""",
-    "upload_parts": """SELECT DISTINCT md5(l_orderkey::varchar) AS file_md5, l_linenumber - 1 AS chunk_index
-      FROM lineitem WHERE l_returnflag <> 'R'""",
+    "upload_parts": "SELECT DISTINCT md5(l_orderkey::varchar) AS file_md5, l_linenumber - 1 AS chunk_index FROM lineitem",
     "upload_totals": """SELECT md5(l_orderkey::varchar) AS file_md5, max(l_linenumber) AS total_chunks
       FROM lineitem GROUP BY 1""",
     "parse_requests": f"""SELECT event_id, user_id, md5(event_type || {K}) AS file_md5,

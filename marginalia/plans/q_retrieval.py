@@ -11,6 +11,7 @@ from marginalia.functions import questions as Q
 from marginalia.operators import acl, evaluation, retrieval as R, vectors as V
 from marginalia.plans.oracle import sql_list, with_tables
 from marginalia.plans.q_access import users_with_tokens
+from marginalia.plans.sequence import top_rows
 from marginalia.plans.tables import Tables
 from marginalia.session import stored
 
@@ -170,9 +171,10 @@ def cascade(t: Tables):
 
 
 def supplemented(t: Tables):
-    hits = t.chunks().filter("chunk_id = 0 or (chunk_id = 3 and doc_id % 2 = 0)").select(
-        F.col("doc_id").alias("query_id"), "file_md5", "chunk_id", (F.col("chunk_id") + 1).alias("rank"))
-    return R.supplement(hits, t.chunks().select("file_md5", "chunk_id"))
+    """A question per document; its hits are the two longest chunks of the document (one, where doc_id is odd)."""
+    c = t.chunks().select(F.col("doc_id").alias("query_id"), "file_md5", "chunk_id", F.length("text_content").alias("n"))
+    hits = top_rows(c, ["query_id"], [F.col("n").desc(), F.col("chunk_id")], 2).filter("rank = 1 OR query_id % 2 = 0")
+    return R.supplement(hits.drop("n"), t.chunks().select("file_md5", "chunk_id"))
 
 
 def embedded(t: Tables):
@@ -364,6 +366,9 @@ QUERIES = {
       FROM chunks c LEFT JOIN chunk_quality q USING (file_md5)) WHERE quality_status <> 'rejected') WHERE rank <= 15""")),
     "u02_fallback": (cascade, prune(f"""SELECT {CHUNK}, rank FROM bm WHERE rank <= 5 AND score >= 100 UNION ALL
       SELECT {CHUNK}, rank FROM en WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM bm WHERE rank <= 5 AND score >= 100)""", QS)),
-    "u03_supplement": (supplemented, with_tables("""SELECT doc_id AS query_id, file_md5, chunk_id, row_number() OVER (PARTITION BY doc_id
-      ORDER BY CASE WHEN chunk_id = 0 OR (chunk_id = 3 AND doc_id % 2 = 0) THEN 0 ELSE 1 END, chunk_id) AS rank FROM chunks WHERE chunk_id < 8""")),
+    "u03_supplement": (supplemented, with_tables("""SELECT doc_id AS query_id, file_md5, chunk_id, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN hit THEN longest ELSE 3 END, chunk_id) AS rank FROM (
+        SELECT *, longest = 1 OR (longest = 2 AND doc_id % 2 = 0) AS hit FROM (SELECT doc_id, file_md5, chunk_id,
+          row_number() OVER (PARTITION BY doc_id ORDER BY length(text_content) DESC, chunk_id) AS longest, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS nth FROM chunks))
+      WHERE hit OR nth <= 8) WHERE rank <= 8""")),
 }

@@ -107,7 +107,7 @@ def monitor_weekly(t: Tables):
 
 
 def progress_stream(t: Tables):
-    parts = stream_of(t, "lineitem").filter("l_returnflag <> 'R'").select(
+    parts = stream_of(t, "lineitem").select(
         F.md5(F.col("l_orderkey").cast("string")).alias("file_md5"), (F.col("l_linenumber") - 1).alias("chunk_index"))
     return _finish(t, M.upload_counts(parts), "uploads", ["file_md5"])
 
@@ -153,24 +153,28 @@ def sessions(t: Tables):
     return M.idle_sessions(t.raw("events")).select("user_id", "opened_at", "events")
 
 
+#: Requests of a user, and seconds of a window.
+RATE = (3, 21_600)
+
+
 def _timed(events):
     at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6
-    return events.select((F.col("user_id") % 5).alias("user_id"), "event_id", at.alias("at"))
+    return events.select("user_id", "event_id", at.alias("at"))
 
 
 def rates(t: Tables):
-    return S.rate_limited_batch(_timed(t.raw("events")), 20, 7200)
+    return S.rate_limited_batch(_timed(t.raw("events")), *RATE)
 
 
 def rate_stream(t: Tables):
-    r = S.rate_limited(_timed(stream_of(t, "events")), 20, 7200)
+    r = S.rate_limited(_timed(stream_of(t, "events")), *RATE)
     return _finish(t, r, "rates", ["user_id", "event_id"], "append")
 
 
-RATE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 5 AS user_id, event_id, epoch_us(ts) / 1000000.0::double AS sec, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events),
+RATE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::double AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 w AS (SELECT user_id, i, sec AS opened, 1 AS n FROM e WHERE i = 1 UNION ALL
-  SELECT e.user_id, e.i, CASE WHEN e.sec >= w.opened + 7200 THEN e.sec ELSE w.opened END, CASE WHEN e.sec >= w.opened + 7200 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
-SELECT w.user_id, e.event_id, n <= 20 AS allowed FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i"""
+  SELECT e.user_id, e.i, CASE WHEN e.sec >= w.opened + {RATE[1]} THEN e.sec ELSE w.opened END, CASE WHEN e.sec >= w.opened + {RATE[1]} THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT w.user_id, e.event_id, n <= {RATE[0]} AS allowed FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i"""
 
 
 def _handled(file_md5: str) -> bool:
