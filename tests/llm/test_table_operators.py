@@ -86,17 +86,76 @@ def test_ranges_cut_by_width_keep_the_order(spark, monkeypatch):
     assert got == {a[0]: b[1] for a, b in plain_next(data)}
 
 
-def test_branches_locate_edits(spark):
-    a = "".join(f"Paragraph {i} says this, and that.\n" for i in range(40))
-    b = a.replace("Paragraph 17 says", "Paragraph 17 said")
-    df = spark.createDataFrame([(a, b), (a, a), ("", "x")], "a string, b string")
+def plain_tree(text):
+    """Sections as lists of paragraphs."""
+    out, own = [], []
+    for p in re.findall(r"[^\n]*\n|[^\n]+", text):
+        own.append(p)
+        if hashlib.sha256(p.encode()).hexdigest()[31] in "0123":
+            out.append(own)
+            own = []
+    return out + [own] if own else out
+
+
+def plain_edits(a, b):
+    """Trim equal ends, pair the n-th copies between; what has no partner was removed or inserted, what changes its rank was moved."""
+    pa, pb = ([(p, (s, i)) for s, ps in enumerate(plain_tree(t)) for i, p in enumerate(ps)] for t in (a, b))
+    while pa and pb and pa[0][0] == pb[0][0]:
+        pa, pb = pa[1:], pb[1:]
+    while pa and pb and pa[-1][0] == pb[-1][0]:
+        pa, pb = pa[:-1], pb[:-1]
+
+    def numbered(ps):
+        seen = Counter()
+        out = {}
+        for p, at in ps:
+            out[p, seen[p]] = at
+            seen[p] += 1
+        return out
+
+    na, nb = numbered(pa), numbered(pb)
+    both = [k for k in na if k in nb]
+    there = sorted(both, key=nb.get)
+    return ([at for k, at in na.items() if k not in nb], [at for k, at in nb.items() if k not in na], [na[x] for x, y in zip(sorted(both, key=na.get), there) if x != y])
+
+
+def test_edits_beside_plain_tree(spark):
+    rnd = random.Random(11)
+    lines = [f"Paragraph {i} says this, and that.\n" for i in range(40)]
+    boiler = "All rights reserved.\n"
+    spread = [x for i, l in enumerate(lines) for x in ([l, boiler] if i % 3 else [l])]
+    pairs = [(lines, lines), (lines, [l.replace("Paragraph 17 says", "Paragraph 17 said") for l in lines]), (lines, lines[:9] + lines[10:]), (lines, lines[:9] + ["new\n"] + lines[9:]),
+             (spread, spread[:20] + spread[21:]), ([boiler] * 30, [boiler] * 29), (lines, lines[:5] + lines[20:25] + lines[5:20] + lines[25:]), ([], ["x"]), (["x"], []), ([], []),
+             (["a\n", "b\n"] * 4, ["b\n", "a\n"] * 4), (lines, lines[::-1]), (["x" * 5000], ["x" * 4000 + "y" * 1000])]
+    pool = lines[:6] + [boiler]
+    pairs += [(rnd.choices(pool, k=rnd.randint(0, 12)), rnd.choices(pool, k=rnd.randint(0, 12))) for _ in range(40)]
+    data = [("".join(a), "".join(b)) for a, b in pairs]
+    df = spark.createDataFrame(data, "a string, b string").selectExpr("*", "a AS _a", "a AS same_", "a AS c0")
     for c in "ab":
         df = merkle.fingerprint(df, c).withColumnRenamed("fingerprint", f"f{c}")
-    r = merkle.edits(df, "fa", "fb").collect()
-    assert [x.same for x in r] == [False, True, False] and [len(x.changed) for x in r] == [1, 0, 0]
-    tree = r[0].fa.split(":")[1].split("/")
-    before = sum(len([p for p in s.split(".") if p]) for s in tree[:r[0].changed[0].section])
-    assert before + r[0].changed[0].paragraph == 17
+    changed = 0
+    for r in merkle.edits(df, "fa", "fb").collect():
+        assert r.same == (r.a == r.b) and r._a == r.a == r.c0 == r.same_
+        removed, inserted, moved = plain_edits(r.a, r.b)
+        got = [[tuple(x) for x in xs] for xs in (r.removed, r.inserted, r.moved)]
+        assert got == [sorted(removed), sorted(inserted), moved], (r.a, r.b)
+        assert r.same or any(got)
+        changed += not r.same
+        tree = [[p for p in re.findall("[0-9a-f]+", s)] for s in re.findall("[^/]*/|[^/]+", r.fa.split(":")[1])]
+        assert [len(s) for s in tree] == [len(s) for s in plain_tree(r.a)]
+        assert [[p[:8] for p in s] for s in tree] == [[hashlib.sha256(p.encode()).hexdigest()[24:32] for p in s] for s in plain_tree(r.a)]
+    assert changed > 40
+    one = merkle.edits(df.where(F.col("b").contains("17 said")), "fa", "fb").first()
+    assert (one.clause.removed, one.clause.inserted) == (2, 1)  # "says" ends a clause
+
+
+def test_likeness_is_read_from_fingerprints(spark):
+    df = frame(spark, rows(n=20)).selectExpr("coalesce(text, '') AS t")
+    df = merkle.fingerprint(df, "t")
+    near = lambda c: merkle.likeness_of(F.col("fingerprint"), c)
+    other = df.select(F.col("fingerprint").alias("o"), F.col("t").alias("u")).limit(5)
+    got = df.join(F.broadcast(other)).select(near(F.col("o")).alias("x"), merkle.likeness(merkle.clauses(F.col("t")), merkle.clauses(F.col("u"))).alias("y")).collect()
+    assert got and all(r.x == r.y for r in got)
 
 
 def test_likeness_of_one_line_and_repeated_clauses(spark):
@@ -120,9 +179,10 @@ def test_likeness_of_one_line_and_repeated_clauses(spark):
     assert [r.near for r in near] == pytest.approx([4 / 7, 1, 0, 4 / 6])
 
 
-def test_merkle_plan_is_native(spark):
-    plan = merkle.fingerprint(frame(spark))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+def test_plans_are_native(spark, tmp_path):
+    sf = store(spark, tmp_path, documents=frame(spark))
+    for df in (merkle.fingerprint(frame(spark)), merkle.op2(spark, sf), pii.op8(spark, sf)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
 def pages(spark, data=None):
