@@ -1,8 +1,10 @@
 """How many guesses a credential value takes: the cheapest way to cut it into words, dates, repeats, walks and the rest.
 
-Costs are log10 of the guesses an attacker spends on a part; parts multiply, so costs add. The cheapest segmentation is a
-dynamic programme over end positions: every position knows the parts of each kind that start there, all of bounded length
-or found as runs, so the work is linear in the value's length.
+Costs are log10 of the guesses an attacker spends on a part; parts multiply, so costs add. Parts are: a word; a date; a walk of
+three characters or more along neighbouring keys or an order; a repeat of one to four characters, at least twice and three
+characters in all; brute force for the rest. Every such stretch of the value is a part that may be chosen, also one inside a longer
+run. The cheapest segmentation is a dynamic programme over end positions; words and dates are of bounded length, and brute force,
+walks and repeats are open states that each next character extends or closes, so the work is linear in the value's length.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 LONGEST_WORD = max(map(len, COMMON_WORDS))
 DATE = re.compile(r"(?:19|20)[0-9]{2}(?:([-./_]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01]))?"
                   r"|(?:0[1-9]|[12][0-9]|3[01])([-./_]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)[0-9]{2}|[0-9]{2})")
-#: Guesses of one character that no pattern explains, and of starting another part.
-BRUTE, PART = 1.0, 0.3
+#: Guesses of one character that no pattern explains, of starting another part, of how often a repeat goes on, of where a walk
+#: starts and of each of its steps.
+BRUTE, PART, TIMES = 1.0, 0.3, 1.0
+START, STEP = log10(94), log10(2)
+PERIODS = (1, 2, 3, 4)
+DATE_SIZES = range(4, 11)
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -58,45 +64,48 @@ def _word(part: str) -> float | None:
     return log10(rank + 1) + extra
 
 
+def _date(size: int) -> float:
+    return log10(36_500 if size > 4 else 100)
+
+
 def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses, and the parts (kind, start, end) of the cheapest segmentation.
 
-    ``best`` is the least cost up to a position, ``brute`` the least whose last part is brute force and can be extended.
-    Walks and repeats run to their end; a repeat is offered from its first character only.
+    ``best`` is the least cost up to a position. Open states are pairs (cost, start): ``brute``; ``walks`` of one, two, and three or
+    more characters; ``repeats`` by period, and how many characters before the position equal those a period back.
     """
-    n, lower = len(value), value.lower()
-    best, brute = [0.0] + [inf] * n, [inf] * (n + 1)
-    came, opened = [("", 0)] * (n + 1), [0] * (n + 1)
+    n, lower, none = len(value), value.lower(), (inf, 0)
+    best, came = [0.0] + [inf] * n, [("", 0)] * (n + 1)
+    brute, walks = none, (none, none, none)
+    repeats, equal = {p: none for p in PERIODS}, {p: 0 for p in PERIODS}
 
     def offer(kind: str, i: int, j: int, cost: float) -> None:
-        if best[i] + cost + PART < best[j]:
-            best[j], came[j] = best[i] + cost + PART, (kind, i)
-
-    walk_end, repeat_end = 0, [0] * 5
-    for i in range(n):
-        longer, fresh = brute[i] + BRUTE, best[i] + PART + BRUTE
-        brute[i + 1], opened[i + 1] = (longer, opened[i]) if longer <= fresh else (fresh, i)
-        if brute[i + 1] < best[i + 1]:
-            best[i + 1], came[i + 1] = brute[i + 1], ("brute", opened[i + 1])
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        if cost < best[j]:
+            best[j], came[j] = cost, (kind, i)
+
+    for j in range(1, n + 1):
+        k, c = j - 1, lower[j - 1]
+        brute = min((brute[0] + BRUTE, brute[1]), (best[k] + PART + BRUTE, k))
+        offer("brute", brute[1], j, brute[0])
+        one, two, more = walks if k and c in NEXT.get(lower[k - 1], ()) else (none, none, none)
+        longest = min(two, more)
+        walks = ((best[k] + PART + START + STEP, k), (one[0] + STEP, one[1]), (longest[0] + STEP, longest[1]))
+        offer("walk", walks[2][1], j, walks[2][0])
+        for p in PERIODS:
+            equal[p] = equal[p] + 1 if k >= p and value[k] == value[k - p] else 0
+            least = max(3, 2 * p)
+            if not equal[p]:
+                repeats[p] = none
+            elif equal[p] >= least - p:
+                repeats[p] = min(repeats[p], (best[j - least] + PART + p * BRUTE + TIMES, j - least))
+                offer("repeat", repeats[p][1], j, repeats[p][0])
+        if value[k].isdigit():
+            for size in DATE_SIZES:
+                if size <= j and value[j - size].isdigit() and DATE.fullmatch(value, j - size, j):
+                    offer("date", j - size, j, best[j - size] + PART + _date(size))
+        for i in range(max(0, j - LONGEST_WORD), j - 2):
             if (cost := _word(value[i:j])) is not None:
-                offer("word", i, j, cost)
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            offer("date", i, m.end(), log10(36_500 if m.end() - i > 4 else 100))
-        if i >= walk_end - 1:
-            walk_end = i + 1
-            while walk_end < n and lower[walk_end] in NEXT.get(lower[walk_end - 1], ()):
-                walk_end += 1
-        if walk_end - i >= 3:
-            offer("walk", i, walk_end, log10(94) + (walk_end - i) * log10(2))
-        for period in (1, 2, 3, 4):
-            if i + period >= repeat_end[period] and value[i:i + period] == value[i + period:i + 2 * period]:
-                j = i + 2 * period
-                while j < n and value[j] == value[j - period]:
-                    j += 1
-                repeat_end[period] = j
-                if j - i >= 3:
-                    offer("repeat", i, j, period * BRUTE + log10(j - i))
+                offer("word", i, j, best[i] + PART + cost)
     parts, j = [], n
     while j:
         kind, i = came[j]

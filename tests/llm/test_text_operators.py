@@ -1,6 +1,7 @@
 """Byte-pair encoding, secrets, personal data, toxicity and decontamination beside plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -85,25 +86,43 @@ def test_guess_costs():
     assert cost("") == 0 and cost("a" * 50_000) < 10
 
 
+def plain_parts(value, i, j):
+    """The costs of a stretch as each kind of part that it can be."""
+    part, n = value[i:j], j - i
+    out = [n * guesses.BRUTE]
+    if n >= 3 and (w := guesses._word(part)) is not None:
+        out.append(w)
+    if guesses.DATE.fullmatch(part):
+        out.append(math.log10(36_500 if n > 4 else 100))
+    if n >= 3 and all(b in guesses.NEXT.get(a, ()) for a, b in zip(part.lower(), part.lower()[1:])):
+        out.append(math.log10(94) + n * math.log10(2))
+    out += [p * guesses.BRUTE + guesses.TIMES for p in (1, 2, 3, 4) if n >= max(3, 2 * p) and all(part[k] == part[k - p] for k in range(p, n))]
+    return out
+
+
 def plain_cost(value):
-    """Least cost over all segmentations of a short value, part by part as the rules say."""
+    """Least cost over all segmentations, every stretch as every kind of part."""
     best = [0.0] + [float("inf")] * len(value)
     for j in range(1, len(value) + 1):
-        for i in range(j):
-            own = [(j - i) * guesses.BRUTE]
-            if (w := guesses._word(value[i:j])) is not None and j - i >= 3:
-                own.append(w)
-            best[j] = min(best[j], best[i] + guesses.PART + min(own))
+        best[j] = min(best[i] + guesses.PART + min(plain_parts(value, i, j)) for i in range(j))
     return best[-1]
 
 
-def test_words_and_brute_force_are_cut_at_least_cost():
+def test_segmentation_is_of_least_cost():
     rnd = random.Random(4)
-    for _ in range(60):
-        value = "".join(rnd.choice(["admin", "zq", "K", "%", "secret", "P@ssw0rd"]) for _ in range(rnd.randint(1, 4)))
+    pieces = ["admin", "zq", "K", "%", "secret", "P@ssw0rd", "aaaa", "ababab", "abcabcab", "qwert", "asdf", "2019-05-01", "20240131", "1999", "x1x1", "12345", "0101", "pppp"]
+    values = ["aaaaaadmin", "ppppppppassword1", "qwertyuioqwerty", "20192020", "abcdcba", "1212121", "aabbaabbaab", "qqqqwerty"]
+    values += ["".join(rnd.choices(pieces, k=rnd.randint(1, 5))) for _ in range(250)] + ["".join(rnd.choices("ab1qw2", k=rnd.randint(1, 14))) for _ in range(250)]
+    seen = set()
+    for value in values:
         total, parts = guesses.segments(value)
-        if {k for k, _, _ in parts} <= {"word", "brute"}:
-            assert total == pytest.approx(plain_cost(value))
+        assert total == pytest.approx(plain_cost(value)), value
+        assert [i for _, i, _ in parts] + [len(value)] == [0] + [j for _, _, j in parts]
+        assert sum(guesses.PART + min(plain_parts(value, i, j)) for _, i, j in parts) == pytest.approx(total), value
+        seen |= {k for k, _, _ in parts}
+    assert seen == {"word", "date", "walk", "repeat", "brute"}
+    assert guesses.log10_guesses("aaaaaadmin") < 4.5 and guesses.log10_guesses("ppppppppassword1") < secret_scan.LEAST
+    assert secret_scan.find("pwd: ppppppppassword1") == [] and len(secret_scan.find("pwd: xK9%qz!R")) == 1 and secret_scan.find("pwd: xK9%qz!") == []
 
 
 def test_guess_spans_and_masking():
