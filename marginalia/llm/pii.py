@@ -2,7 +2,8 @@
 
 Every candidate span is judged by labelers that vote 1 (private), -1 (not) or 0 (no opinion): the pattern's own checks, a
 gazetteer (top-level domains, calling codes, card issuers, reserved networks, given names), the words before it, its
-borders, and whether the text holds candidates of other kinds. Nobody labels anything: expectation-maximisation over the
+borders, and whether the text holds candidates of other kinds. Candidates come from the patterns, from the gazetteer (a given name
+and a word in capitals) and from the context (words behind "my name is", digit groups behind "phone", in four languages). Nobody labels anything: expectation-maximisation over the
 counts of (kind, votes) estimates how reliable each labeler is and how likely each combination is private. On those
 estimates a logistic regression over kind, votes and length is trained, the span classifier. Base spans (email, ip, card,
 phone) always stay; other candidates, among them base matches that failed their check, are added as ``likely`` from a
@@ -28,7 +29,7 @@ from marginalia.llm.common import aside, back, column
 from marginalia.session import stored
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("ssn", "local", "iban", "spelled", "name")
+EXTRA = ("ssn", "local", "iban", "spelled", "name", "given", "introduced", "dialled")
 KINDS = (*BASE, *(f"bad_{k}" for k in BASE[1:]), *EXTRA)
 THRESHOLD = 0.5
 # The base patterns. A match may start where none of its first characters stands before, or where the last match ended;
@@ -41,16 +42,24 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+])(?<!\+[0-9]{1,3}[\x20.-]?)(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SPELLED = r"[A-Za-z0-9._-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,24}"
-NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?"
-FORMS = {"ssn": SSN, "local": LOCAL, "iban": IBAN, "spelled": SPELLED, "name": NAME}
+SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,}+"
+CAPITAL = r"\p{Lu}[\p{L}'\x{2019}-]++"
+TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Srta)\.?|M\.|Mme|Mlle|Monsieur|Madame|Herr|Frau|Se\x{F1}or|Se\x{F1}ora|Don|Do\x{F1}a"
+NAME = rf"(?<!\p{{L}})(?:{TITLES})\x20{CAPITAL}(?:\x20{CAPITAL})?"
 # Gazetteers and cues.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|us|uk|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|pt|ie|ca|au|nz|jp|cn|in|br|mx|ru|za|kr"
 CALLING_CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|30[0-5]|3[68]|6011|65|64[4-9]|35|62"
 RESERVED = r"(0|10|127)\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|(22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
 GIVEN_NAMES = "James|John|Robert|Michael|William|David|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Anna|Maria|Peter|Paul|Thomas|Daniel|Laura|Sarah|Emma|Julia|Marie|Pierre|Hans|Carlos|Juan|Luis|Carmen"
-CUES = r"e-?mail|mail|phone|tel\b|telephone|mobile|cell|call|fax|contact|reach|card|visa|mastercard|amex|payment|account|iban|ssn|social security|address|name is|login|user|ip\b"
+#: What a name follows, and what a number follows, in English, German, French and Spanish.
+NAMING = r"(?:name is|mein Name ist|ich hei\x{DF}e|ich heisse|je m'appelle|mon nom est|me llamo|mi nombre es)"
+DIALLING = r"(?:phone|telephone|tel|telefon|telefonnummer|handy|mobil|mobile|t\x{E9}l\x{E9}phone|t\x{E9}l|portable|tel\x{E9}fono|m\x{F3}vil|cell|call|fax)"
+GIVEN = rf"(?<!\p{{L}})(?:{GIVEN_NAMES})\x20{CAPITAL}"
+INTRODUCED = rf"(?<=(?iu:{NAMING})\x20){CAPITAL}(?:\x20{CAPITAL}){{0,2}}"
+DIALLED = rf"(?<=(?<!\p{{L}})(?iu:{DIALLING})[.:]{{0,2}}\x20)\(?[0-9](?:[\x20()./-]{{0,2}}[0-9]){{5,14}}+(?![0-9])"
+FORMS = {"ssn": SSN, "local": LOCAL, "iban": IBAN, "spelled": SPELLED, "name": NAME, "given": GIVEN, "introduced": INTRODUCED, "dialled": DIALLED}
+CUES = NAMING.lower() + "|" + DIALLING.lower() + r"\b|e-?mail|mail|phone|tel\b|telephone|mobile|cell|call|fax|contact|reach|card|visa|mastercard|amex|payment|account|iban|ssn|social security|address|name is|login|user|ip\b"
 AGAINST = r"order|invoice|isbn|version|serial|ref\b|reference|page|section|chapter|part no|model|build|release"
 LABELERS = ("check", "gazetteer", "cue", "border", "company")
 BLOCK = 128
@@ -108,6 +117,7 @@ def _judged(kind: str, x: Column) -> Column:
         "phone": lambda: F.length(digits).between(9, 15),
         "ssn": lambda: ~m.rlike("^(000|666|9)|-00-|-0000$"), "local": lambda: ~m.rlike(r"^\(?[01]"),
         "iban": lambda: F.lit(True), "spelled": lambda: F.lit(True), "name": lambda: F.lit(True),
+        "given": lambda: F.lit(True), "introduced": lambda: F.lit(True), "dialled": lambda: F.lit(True),
     }[kind]()
     listed = {
         "email": lambda: _vote(F.lower(m).rlike(rf"\.({DOMAINS})$"), _never()),
@@ -117,7 +127,8 @@ def _judged(kind: str, x: Column) -> Column:
         "ssn": lambda: F.lit(0), "local": lambda: F.lit(0),
         "iban": lambda: _vote(m.rlike("^(DE|FR|ES|IT|NL|BE|AT|CH|GB|IE|PT|PL|SE|NO|DK|FI|LU|CZ)"), F.lit(True)),
         "spelled": lambda: _vote(F.lower(m).rlike(rf"[.\])]\x20?({DOMAINS})$"), F.lit(True)),
-        "name": lambda: _vote(m.rlike(rf"\b({GIVEN_NAMES})\b"), _never()),
+        "name": lambda: _vote(m.rlike(rf"\b({GIVEN_NAMES})\b"), _never()), "given": lambda: F.lit(1),
+        "introduced": lambda: _vote(m.rlike(rf"\b({GIVEN_NAMES})\b"), _never()), "dialled": lambda: F.lit(0),
     }[kind]()
     name = F.when(good, kind).otherwise(f"bad_{kind}" if kind in BASE[1:] else kind)
     return F.struct(
@@ -141,9 +152,12 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     out = matches(out, "_ip", body, IP, some_digits)
     out = matches(out, "_card", body, CARD, some_digits)
     out = matches(out, "_phone", body, PHONE, F.contains(body, F.lit("+")))
-    once = body.rlike(r"[0-9]{4}|[\[(]at[\])]|(?:Mr|Ms|Mrs|Dr|Prof)\.?\x20")
+    four = body.rlike("[0-9]{4}")
+    once = {"ssn": four, "local": four, "iban": four, "spelled": body.rlike(r"[\[(]at[\])]"), "name": body.rlike(rf"(?:{TITLES})\x20\p{{Lu}}"),
+            "given": body.rlike(rf"(?:{GIVEN_NAMES})\x20\p{{Lu}}"), "introduced": body.rlike(rf"(?iu){NAMING}\x20"),
+            "dialled": some_digits & body.rlike(rf"(?iu){DIALLING}[.:]{{0,2}}\x20\(?[0-9]")}
     for kind, pattern in FORMS.items():
-        out = matches(out, f"_{kind}", body, pattern, once)
+        out = matches(out, f"_{kind}", body, pattern, once[kind])
     groups = [F.transform(f"_{k}", _judge(k)) for k in (*BASE, *EXTRA)]
     own = out.select(*kept, F.concat(*groups).alias("_all"))
     several = F.size(F.array_distinct(F.transform("_all", lambda x: F.regexp_replace(x["kind"], "^bad_", "")))) > 1
@@ -234,7 +248,10 @@ def find(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, keep
         x["start"].alias("start"), rank(x["kind"]).alias("rank"), F.when(x["kind"].isin(*BASE), x["kind"]).otherwise("likely").alias("kind"),
         x["end"].alias("end"), probability(x, model).alias("probability")))
     found = F.filter(scored, lambda x: (x["kind"] != "likely") | (x["probability"] >= threshold))
-    return back(judged, kept, F.array_sort(found).alias("found"))
+    # a span that several proposers found is one
+    ordered = F.flatten(F.transform(F.array(F.array_sort(found)), lambda xs: F.filter(xs, lambda x, i: (x["kind"] != "likely") | (i == 0) | ~(
+        (F.get(xs, i - 1)["kind"] == "likely") & (F.get(xs, i - 1)["start"] == x["start"]) & (F.get(xs, i - 1)["end"] == x["end"])))))
+    return back(judged, kept, ordered.alias("found"))
 
 
 def op8(spark, sf_dir):

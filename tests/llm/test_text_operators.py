@@ -307,3 +307,30 @@ def test_suffix_array_and_index():
 
 def test_schema_of_documents():
     assert DOCS.fieldNames() == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_proposals_in_four_languages(spark):
+    """Names and numbers planted in prose of four languages: most are found, and little else."""
+    rnd = random.Random(12)
+    plain = {"en": "the river runs past Old Mill and the Garden House in winter, page 12, section 4", "de": "der Fluss im Winter und die Alte Brücke am Markt, Seite 12, Kapitel 4",
+             "fr": "la rivière passe par le Vieux Moulin en hiver, page 12, chapitre 4", "es": "el río pasa por la Casa Vieja en invierno, página 12, capítulo 4"}
+    planted = {
+        "en": ["My name is {Maria Lopez}, hello.", "Ask {Dr. Miller} today.", "phone: {030 123456} now", "with {John Baker} there"],
+        "de": ["Mein Name ist {Jürgen Groß}, hallo.", "Bitte {Herr Meyer} fragen.", "Telefon: {030 1234567} bitte", "mit {Hans Müller} dort"],
+        "fr": ["Je m'appelle {Élodie Durand}, bonjour.", "Voir {Mme Dupont} demain.", "tél. {01 23 45 67 89} ici", "avec {Pierre Lefèvre} hier"],
+        "es": ["Me llamo {Íñigo Montoya}, hola.", "Ver {Señora García} hoy.", "teléfono: {912 345 678} aquí", "con {Juan Núñez} ayer"]}
+    data, want = [], {}
+    for i in range(240):
+        lang = "en de fr es".split()[i % 4]
+        text = plain[lang] + ". "
+        if i % 3:
+            before, span, after = re.split("[{}]", rnd.choice(planted[lang]))
+            want[i] = (len(text) + len(before), len(text) + len(before) + len(span))
+            text += before + span + after
+        data.append((i, text + " " + plain[lang], lang, "s", 0))
+    got = {r.doc_id: [(x.start, x.end) for x in r.found if x.kind == "likely"] for r in pii.find(frame(spark, data)).collect()}
+    hit = sum(any(a <= s and e <= b or s <= a and b <= e for a, b in got[i]) for i, (s, e) in want.items())
+    clean = [i for i in got if i not in want]
+    assert hit / len(want) > 0.9, hit / len(want)
+    assert sum(bool(got[i]) for i in clean) == 0
+    assert sum(len(x) for x in got.values()) <= 1.2 * len(want)
