@@ -50,11 +50,6 @@ def schedule_keywords(q: Column) -> Column:
     return F.slice(F.array_except(F.array_distinct(both), _words(C.SCHEDULE_STOP_WORDS)), 1, 8)
 
 
-def schedule_debug_keywords(q: Column) -> Column:
-    """J20, listing variant: tokens of the lower-cased query."""
-    return _all(F.lower(_stripped(q)), f"([{C.CJK}A-Za-z0-9_/.-]{{2,32}})")
-
-
 def normalize_query(q: Column) -> Column:
     """F17."""
     t = F.regexp_replace(_stripped(q), r"[、。,.!?！？:：;；\[\]{}<>\"'`]+", " ")
@@ -108,11 +103,6 @@ def entities(signals: Column) -> Column:
     return F.slice(signals["term"], 1, 8)
 
 
-def must_terms(signals: Column) -> Column:
-    sure = F.filter(signals, lambda s: (s["entity_type"] == "named") & (s["confidence"] >= 0.70))
-    return F.slice(sure["term"], 1, 4)
-
-
 def is_identifier(token: Column) -> Column:
     return token.rlike(IDENTIFIER)
 
@@ -184,11 +174,6 @@ def anchor_variants(token: Column) -> Column:
     )
 
 
-def mentions(text: Column, anchor: Column) -> Column:
-    """The (normalised) text contains a spelling of the anchor."""
-    return F.exists(anchor_variants(anchor), lambda v: F.contains(text, v))
-
-
 def top_n(q: Column) -> Column:
     """F21."""
     t = F.lower(F.coalesce(q, F.lit("")))

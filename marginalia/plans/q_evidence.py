@@ -319,6 +319,12 @@ def timeline(t: Tables):
     return r.select("user_id", "id", "text_content", "rank")
 
 
+def timeline_rows(t: Tables):
+    """The timeline rows of every reader as the hits of a question, parsed back."""
+    hits = timeline(t).withColumnRenamed("user_id", "query_id")
+    return M.timeline_answer(hits).withColumn("distance", F.coalesce("distance", F.lit("")))
+
+
 def backfilled(t: Tables):
     i = M.experience_items(experience_chunks(t), 202406)
     return M.backfill_files(i, t.chunks())
@@ -352,5 +358,9 @@ QUERIES = {
     "n05_t05_timeline": (timeline, with_tables("""SELECT user_id, id, text_content, rank FROM (SELECT user_id, k AS id, '[时间线] 项目: ' || project || ' ; 期间: ' || period || ' ; 角色: ' || coalesce(role, '未明确角色')
       || CASE WHEN user_id % 2 = 0 THEN ' ; 距今天约: ' || greatest(0, 2024 * 12 + 6 - (end_ym // 100 * 12 + end_ym % 100)) || ' 个月' ELSE '' END AS text_content,
       row_number() OVER (PARTITION BY user_id ORDER BY end_ym DESC, start_ym DESC, k DESC) AS rank FROM xi JOIN visible USING (file_md5)) WHERE rank <= least(greatest(user_id % 30 - 2, 1), 20)""", EXP)),
+    "n05_timeline_answers": (timeline_rows, with_tables("""SELECT user_id AS query_id, rank AS nth, project, period, coalesce(role, '未明确角色') AS role,
+      CASE WHEN user_id % 2 = 0 THEN greatest(0, 2024 * 12 + 6 - (end_ym // 100 * 12 + end_ym % 100))::varchar ELSE '' END AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY end_ym DESC, start_ym DESC, k DESC) AS rank FROM xi JOIN visible USING (file_md5))
+      WHERE rank <= least(3, least(greatest(user_id % 30 - 2, 1), 20))""", EXP)),
     "j12_backfill_files": (backfilled, with_tables("SELECT DISTINCT file_md5 FROM chunks WHERE file_md5 NOT IN (SELECT file_md5 FROM xo)", EXP)),
 }

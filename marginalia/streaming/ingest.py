@@ -43,11 +43,6 @@ def first_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("user_id", "file_md5").agg(first.alias("r")).select("user_id", "file_md5", "r.*")
 
 
-def not_done(requests: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests whose file is not finished yet."""
-    return requests.join(done.select(*keys), keys, "left_anti")
-
-
 def append_new(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch writer behind `once_per_file`; a repeated batch changes nothing.
 
