@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as C
 from marginalia.functions import text as X
 from marginalia.plans.sequence import top_rows, with_halo
+from marginalia.session import stored
 
 SHEET = ["file_md5", "sheet"]
 
@@ -344,8 +345,9 @@ def drawing_edges(nodes: DataFrame, connectors: DataFrame, reach: float = C.NODE
     """Connectors to edges between the nodes nearest to their ends, if within reach.
 
     Ends and nodes meet through a grid of cells as wide as the reach (the cell and its eight
-    neighbours), so only near candidates are compared. nodes: node_no, name, x, y; connectors:
-    conn_no, x1, y1, x2, y2.
+    neighbours), so only near candidates are compared. Ends at one spot have one nearest node, and of
+    nodes at one spot only the first can be it: each spot is looked at once. nodes: node_no, name,
+    x, y; connectors: conn_no, x1, y1, x2, y2.
     """
     key = X.node_key(F.col("name"))
     uniq = nodes.filter(key != "").groupBy(*SHEET, key.alias("_k")).agg(F.min_by(F.struct("node_no", "name", "x", "y"), "node_no").alias("n"))
@@ -356,21 +358,21 @@ def drawing_edges(nodes: DataFrame, connectors: DataFrame, reach: float = C.NODE
         return F.floor(c / reach).cast("long")
 
     around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    placed = uniq.withColumn("gx", cell(F.col("x"))).withColumn("gy", cell(F.col("y")))
-    ends = None
-    for side, x, y in (("src", "x1", "y1"), ("dst", "x2", "y2")):
-        one = connectors.select(*SHEET, "conn_no", F.lit(side).alias("side"), F.col(x).cast("double").alias("ex"), F.col(y).cast("double").alias("ey"))
-        ends = one if ends is None else ends.unionByName(one)
-    ends = ends.join(enough, SHEET, "left_semi")
-    ends = ends.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    ends = ends.withColumn("gx", cell(F.col("ex")) + F.col("dx")).withColumn("gy", cell(F.col("ey")) + F.col("dy"))
-    near = ends.join(placed, [*SHEET, "gx", "gy"])
+    placed = uniq.groupBy(*SHEET, "x", "y").agg(F.min(F.struct("node_no", "name")).alias("n")).select(*SHEET, "x", "y", "n.*")
+    placed = placed.withColumn("gx", cell(F.col("x"))).withColumn("gy", cell(F.col("y")))
+    ends = [F.struct(F.col(x).cast("double").alias("ex"), F.col(y).cast("double").alias("ey")) for x, y in (("x1", "y1"), ("x2", "y2"))]
+    spots = connectors.select(*SHEET, F.explode(F.array(*ends)).alias("e")).select(*SHEET, "e.*").distinct().join(enough, SHEET, "left_semi")
+    spots = spots.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    spots = spots.withColumn("gx", cell(F.col("ex")) + F.col("dx")).withColumn("gy", cell(F.col("ey")) + F.col("dy"))
+    near = spots.join(placed, [*SHEET, "gx", "gy"])
     dist = F.sqrt((F.col("ex") - F.col("x")) * (F.col("ex") - F.col("x")) + (F.col("ey") - F.col("y")) * (F.col("ey") - F.col("y")))
     near = near.withColumn("dist", dist).filter(F.col("dist") <= reach)
-    best = near.groupBy(*SHEET, "conn_no", "side").agg(F.min(F.struct("dist", "node_no", "name")).alias("b"))
-    both = best.groupBy(*SHEET, "conn_no").agg(
-        F.max(F.when(F.col("side") == "src", F.col("b"))).alias("s"), F.max(F.when(F.col("side") == "dst", F.col("b"))).alias("d")
-    ).filter("s is not null and d is not null and s.name <> d.name")
+    best = stored(near.groupBy(*SHEET, "ex", "ey").agg(F.min(F.struct("dist", "node_no", "name")).alias("b")), "nearest-nodes")
+    both = connectors.select(*SHEET, "conn_no", *[e.alias(n) for e, n in zip(ends, ("_1", "_2"))])
+    for end, side in (("_1", "s"), ("_2", "d")):
+        found = best.select(*SHEET, F.struct("ex", "ey").alias(end), F.struct("b.dist", "b.name").alias(side))
+        both = both.join(found, [*SHEET, end]).drop(end)
+    both = both.filter("s.name <> d.name")
     conf = F.greatest(F.lit(0.4), F.least(F.lit(0.95), 1.0 - (F.col("s.dist") + F.col("d.dist")) / 80.0))
     return both.groupBy(*SHEET, F.col("s.name").alias("src"), F.col("d.name").alias("dst")).agg(
         F.min_by(F.bround(conf * 100) / 100, "conn_no").alias("confidence"), F.lit(C.CONNECT).alias("relation_type")
