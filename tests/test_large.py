@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import acl, sheets
+from marginalia.operators import acl, evidence, graph, sheets
 
 
 def shuffled_rows(spark, make):
@@ -60,3 +60,73 @@ def test_drawing_edges_look_at_every_spot_once(spark):
     assert {(r["src"], r["dst"]) for r in got} == set(want)
     assert all(abs(r["confidence"] - want[r["src"], r["dst"]]) <= 0.005001 for r in got)
     assert rows < 30_000  # 8,000 ends in nine cells each were 72,000
+
+
+def test_schedule_rows_are_cut_before_they_meet_the_questions(spark):
+    words = ["ring gear", "ring bolt", "anvil", "widget"]
+    data = [(i, words[i % 4], ["general", "design"][i % 2], (i * 37 % 100) / 100) for i in range(1200)]
+    rows = spark.createDataFrame([(f"f{i % 5}", i, "s", w, "", "", p, c) for i, w, p, c in data],
+                                 "file_md5 string, row_id long, sheet string, task string, detail string, raw_text string, kb_profile string, confidence double")
+    files = spark.createDataFrame([(f"f{i}", ["any", f"u:{i}", "public"] if i else ["any", "u:0"]) for i in range(5)], "file_md5 string, file_tokens array<string>")
+    asked = [(n, ["ring gear", "anvil", "ring", "?"][n % 4], ["general", "design"][n // 4 % 2], ["public"] if n % 3 else ["u:0", "public"]) for n in range(240)]
+    q = spark.createDataFrame(asked, "query_id long, query string, profile string, tokens array<string>")
+    n_rows, got = shuffled_rows(spark, lambda: evidence.schedule_matches(rows, q, files, 3).collect())
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["score"]))
+    for n, text, profile, tokens in asked:
+        kw = [] if text == "?" else text.split()
+        best = []
+        for i, w, p, c in data:
+            hit = sum(k in w for k in kw)
+            if (hit or not kw) and (i % 5 or "u:0" in tokens):
+                best.append((-round(hit + (p == profile) + c, 6), i))
+        want = [(r, i, -s) for r, (s, i) in enumerate(sorted(best)[:3], 1)]
+        assert sorted(found[n]) == want, n
+    assert n_rows < 40_000  # 240 questions met some hundred rows each, through every token
+
+
+def test_evidence_is_cut_before_it_meets_the_questions(spark):
+    data = [(f"f{i % 3}", f"e{i:04d}", f"a{i % 300}", f"b{i % 200}", "depends", i % 7) for i in range(1500)]
+    edges = spark.createDataFrame([(*r, "graph") for r in data], "file_md5 string, edge_id string, src string, dst string, relation_type string, page int, file_name string")
+    files = spark.createDataFrame([("f0", ["u:0", "any"]), ("f1", ["public", "any"]), ("f2", ["public", "any"])], "file_md5 string, file_tokens array<string>")
+    asked = [(n, ["depends flow a12", "flow a12 b20", "flow graph"][n % 3], ["public"] if n % 2 else ["u:0", "public"]) for n in range(60)]
+    q = spark.createDataFrame(asked, "query_id long, query string, tokens array<string>")
+    n_rows, got = shuffled_rows(spark, lambda: graph.evidence_search(q, edges, files, 4).collect())
+    terms = {r["query_id"]: r["t"] for r in q.select("query_id", graph.Q.relation_terms(F.col("query")).alias("t")).collect()}
+    related = {r["query_id"] for r in q.filter(graph.Q.is_relation_query(F.col("query"))).collect()}
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["edge_id"], r["score"]))
+    assert related and set(found) <= related
+    for n, _, tokens in asked:
+        one = {}
+        for f, e, a, b, kind, page in data:
+            m = sum(t in f"{a} {kind} {b} graph" for t in terms[n])
+            if n in related and m and (f != "f0" or "u:0" in tokens):
+                one[f, a, b] = max(one.get((f, a, b), (-1, "", "", 0)), (page, e, f, m))
+        best = sorted(one.values(), reverse=True)[:4]
+        assert sorted(found.get(n, [])) == [(r, e, round(1 + 0.04 * m, 4)) for r, (_, e, _, m) in enumerate(best, 1)], n
+    assert n_rows < 25_000
+
+
+def test_compared_anchors_read_the_hits_once(spark):
+    hits = spark.range(3000).select(
+        (F.col("id") % 3).alias("query_id"), F.col("id").alias("rank"),
+        F.when(F.col("id") % 5 < 2, "an anvil here").when(F.col("id") % 5 == 2, "widget-gear").otherwise("nothing").alias("text_content"))
+    q = spark.createDataFrame([(i, "compare anvil widget", "general") for i in range(3)], "query_id long, query string, profile string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            calls.add(len(pdf))
+            yield pdf
+
+    seen = hits.mapInPandas(counted, hits.schema)
+    got = {(r["query_id"], r["anchor"]): (r["matches"], r["snippets"]) for r in evidence.compare_answer(seen, q).collect()}
+    texts = {(i % 3, i): "an anvil here" if i % 5 < 2 else "widget-gear" if i % 5 == 2 else "" for i in range(3000)}
+    for query in range(3):
+        for word in ("anvil", "widget"):
+            want = [t for (n, _), t in texts.items() if n == query and word in t]
+            assert got[query, word] == (len(want), want[:3])
+    assert calls.value == 3000
