@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import acl, evidence, graph, sheets
+from marginalia.operators import acl, evaluation, evidence, graph, sheets
 
 
 def shuffled_rows(spark, make):
@@ -130,3 +130,10 @@ def test_compared_anchors_read_the_hits_once(spark):
             want = [t for (n, _), t in texts.items() if n == query and word in t]
             assert got[query, word] == (len(want), want[:3])
     assert calls.value == 3000
+
+
+def test_received_parts_are_counted_without_a_bitmap_per_file(spark):
+    rows = [("a", 0), ("a", 0), ("a", 2), ("a", 40_000), ("b", 5), ("c", None)]
+    out = evaluation.upload_bitmaps(spark.createDataFrame(rows, "file_md5 string, chunk_index int"))
+    assert sorted((r["file_md5"], r["received"]) for r in out.collect()) == [("a", 1), ("a", 2), ("b", 1), ("c", 0)]
+    assert "bitmap_construct_agg" not in out._jdf.queryExecution().toString()
