@@ -38,13 +38,15 @@ def update(chunks: DataFrame, files: DataFrame, root: str, batch_id: int) -> Non
     """Replace the index rows of `files` (file_md5) by those of `chunks` (file_md5, chunk_id, text_content)."""
     spark = files.sparkSession
     new = index_columns(chunks.select(*KEY, "text_content")).select(*KEY, "dl", "tf", _bucket().alias("bucket"))
-    changes = _counts(new, 1)
+    path = f"{root}/{ROWS}/batch={batch_id}"
+    # one folder a bucket, so that an update can skip the others
+    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # counted from what was written: the texts are taken apart once; with the schema given, also where there is no row
+    changes = _counts(spark.read.schema(new.schema).parquet(path), 1)
     old = old_rows(spark, files, root, batch_id)
     if old is not None:
         changes = changes.unionByName(_counts(old, -1))
     changes = changes.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df <> 0 OR cf <> 0")
-    parted = new.repartition("bucket")  # one folder a bucket, so that an update can skip the others
-    parted.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{ROWS}/batch={batch_id}")
     commits.commit({COUNTS: changes}, files, root, batch_id)
 
 
