@@ -1,10 +1,12 @@
 """Steps whose rows must not grow with pairs: what is shuffled or how it is dealt, and the plain result beside it."""
 
 import math
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import acl, evaluation, evidence, graph, sheets
+from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, sheets
 
 
 def shuffled_rows(spark, make):
@@ -137,3 +139,31 @@ def test_received_parts_are_counted_without_a_bitmap_per_file(spark):
     out = evaluation.upload_bitmaps(spark.createDataFrame(rows, "file_md5 string, chunk_index int"))
     assert sorted((r["file_md5"], r["received"]) for r in out.collect()) == [("a", 1), ("a", 2), ("b", 1), ("c", 0)]
     assert "bitmap_construct_agg" not in out._jdf.queryExecution().toString()
+
+
+def test_terms_of_a_long_text_are_counted_in_one_pass(spark):
+    words = [f"w{i * 7919 % 60_000}" for i in range(60_000)] + ["w1", "w1"]
+    chunks = spark.createDataFrame([("f", 0, " ".join(words)), ("g", 0, ""), ("h", 0, None)], "file_md5 string, chunk_id int, text_content string")
+    started = time.perf_counter()
+    rows = {r["file_md5"]: r for r in retrieval.index_columns(chunks).select("file_md5", "dl", "tf").collect()}
+    spent = time.perf_counter() - started
+    assert rows["f"]["dl"] == 60_002 and {x["term"]: x["tf"] for x in rows["f"]["tf"]} == dict(Counter(words))
+    assert [rows[f]["tf"] for f in "gh"] == [[], []]
+    assert spent < 10  # every term was looked up in the whole list: 60,000 times 60,000 comparisons
+    plan = retrieval.vocabulary(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a filter before the explode took the texts apart twice more
+
+
+def test_index_update_takes_texts_apart_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            calls.add(len(pdf))
+            yield pdf
+
+    chunks = spark.createDataFrame([(f"f{i}", 0, f"ring w{i}") for i in range(40)], "file_md5 string, chunk_id int, text_content string")
+    live_index.update(chunks.mapInPandas(counted, chunks.schema), chunks.select("file_md5"), str(tmp_path / "t"), 0)
+    assert calls.value == 40
+    live_index.update(chunks.limit(0), chunks.select("file_md5"), str(tmp_path / "t"), 1)
+    assert live_index.vocabulary(spark, str(tmp_path / "t")).count() == 0
