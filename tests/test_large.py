@@ -167,3 +167,35 @@ def test_index_update_takes_texts_apart_once(spark, tmp_path):
     assert calls.value == 40
     live_index.update(chunks.limit(0), chunks.select("file_md5"), str(tmp_path / "t"), 1)
     assert live_index.vocabulary(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_candidate_chunks_are_not_shuffled_per_query(spark):
+    words = [f"w{i}" for i in range(12)]
+    texts = {(f"f{i % 40:02d}", i // 40): " ".join(words[(i * s + s) % 12] for s in range(1, 8 + i % 5)) for i in range(800)}
+    chunks = spark.createDataFrame([(f, c, t, ["any", "public"] if f != "f00" else ["any"]) for (f, c), t in texts.items()],
+                                   "file_md5 string, chunk_id int, text_content string, file_tokens array<string>")
+    asked = {n: " ".join(words[(n + s * (1 + n % 3)) % 12] for s in range(2 + n % 6)) for n in range(200)} | {200: "w1 unknown", 201: "", 202: "w3"}
+    q = spark.createDataFrame([(n, t, ["public"] if n % 2 else ["any"]) for n, t in asked.items()], "query_id long, query string, tokens array<string>")
+    rows, got = shuffled_rows(spark, lambda: retrieval.text_scores(retrieval.index_columns(chunks), q, prefix=True).collect())
+    df = Counter(w for t in texts.values() for w in set(t.split()))
+    idf = {w: math.log(1 + (800 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    avg = sum(len(t.split()) for t in texts.values()) / 800
+    want = {}
+    for n, text in asked.items():
+        terms = list(dict.fromkeys(text.split()))
+        form = " " + "  ".join(text.split()) + " "
+        for (f, c), t in texts.items():
+            own = t.split()
+            body, part = " " + "  ".join(own) + " ", lambda tf: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / avg))
+            held = [w for w in terms if w in own]
+            if not held or (f == "f00" and n % 2):
+                continue
+            match = sum(idf[w] * part(own.count(w)) for w in held) if len(held) >= max(1, len(terms) * 6 // 10) else 0.0
+            full = sum(idf.get(w, 0.0) for w in terms)
+            phrase, prefix = (full * part(k) if k else 0.0 for k in (body.count(form), body.count(form.rstrip()) if len(text) <= 24 else 0))
+            if match > 0 or phrase > 0 or prefix > 0:
+                want[n, f, c] = (match, phrase, prefix)
+    found = {(r["query_id"], r["file_md5"], r["chunk_id"]): (r["match"], r["phrase"], r["prefix"]) for r in got}
+    assert len(got) == len(found) and set(found) == set(want) and len(want) > 50_000
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(found[k], want[k]))
+    assert rows < 10_000  # every pair was, several times
