@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as C
 from marginalia.functions import questions as Q
 from marginalia.operators import acl, evaluation, retrieval as R, vectors as V
+from marginalia.plans.joins import lookup_join
 from marginalia.plans.oracle import sql_list, with_tables
 from marginalia.plans.q_access import users_with_tokens
 from marginalia.plans.sequence import top_rows
@@ -32,7 +33,6 @@ class Search:
             .join(vec, "query_id", "left")
             .withColumn("entities", Q.entities(Q.entity_signals(F.col("query"))))
         )
-        self.quality = t.child_quality()
 
     @cached_property
     def chunks(self):
@@ -43,6 +43,11 @@ class Search:
         )
         return stored(R.index_columns(rows), "chunk-index")
 
+    @cached_property
+    def quality(self):
+        """Quality by chunk, with the keys of the index: documents are not cut into chunks again."""
+        return self.chunks.select(*R.KEY).join(self.t.chunk_quality(), "file_md5")
+
 
 def vocabulary(t: Tables):
     return R.vocabulary(t.chunks())
@@ -134,7 +139,8 @@ def per_case(t: Tables):
 
 def _case_results(t: Tables):
     s = Search(t)
-    hits = R.bm25_channel(s.chunks, s.queries, TOP_K).join(s.chunks.select("file_md5", "chunk_id", "text_content", "file_name"), ["file_md5", "chunk_id"])
+    best = stored(R.bm25_channel(s.chunks, s.queries, TOP_K), "case-hits")
+    hits = lookup_join(s.chunks.select("file_md5", "chunk_id", "text_content", "file_name"), best, ["file_md5", "chunk_id"])
     exp = t.raw("benchmark").select(
         F.col("item_id").alias("query_id"),
         F.array(F.md5(F.col("item_id").cast("string"))).alias("file_md5_any"),
