@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, sheets
+from marginalia.plans import q_graph
+from marginalia.plans.tables import Tables
 
 
 def shuffled_rows(spark, make):
@@ -199,3 +201,8 @@ def test_candidate_chunks_are_not_shuffled_per_query(spark):
     assert len(got) == len(found) and set(found) == set(want) and len(want) > 50_000
     assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(found[k], want[k]))
     assert rows < 10_000  # every pair was, several times
+
+
+def test_relation_index_searches_the_lines_once(spark):
+    plan = q_graph.index(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "Window" not in plan  # every reader of the edges searched the lines again
