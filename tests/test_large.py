@@ -206,3 +206,19 @@ def test_candidate_chunks_are_not_shuffled_per_query(spark):
 def test_relation_index_searches_the_lines_once(spark):
     plan = q_graph.index(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "Window" not in plan  # every reader of the edges searched the lines again
+
+
+def test_paths_many_searches_ask_for_are_walked_once(spark):
+    into = [("f", f"s{i:03d}>m{m:02d}", f"s{i:03d}", f"m{m:02d}", "r") for i in range(300) for m in range(20)]
+    edges = spark.createDataFrame(into + [("f", f"m{m:02d}>A", f"m{m:02d}", "A", "r") for m in range(20)],
+                                  "file_md5 string, edge_id string, src string, dst string, relation_type string")
+    edges = edges.unionByName(edges)  # customers of one name
+    asked = spark.createDataFrame([(i, "f", n) for i in range(300) for n in (f"s{i:03d}", "A")], "search_id long, file_md5 string, node string")
+    want = sorted((i, f"s{i:03d}", ("A", (f"s{i:03d}>m00", "m00>A"))) for i in range(300))
+    for make in (lambda: graph.first_paths(asked, edges, 2), lambda: graph.one_way(graph.shortest_paths(asked, edges))):
+        rows, got = shuffled_rows(spark, lambda: make().collect())
+        assert sorted((r["search_id"], r["high"], (r["low"], tuple(r["path"]))) for r in got) == want
+        assert all(r["reverse"] for r in got)
+        assert rows < 60_000  # each search walked by itself
+    text = graph.path_results(graph.first_paths(asked.filter("search_id = 7"), edges, 2), edges).collect()
+    assert [r["text_content"] for r in text] == [f"{graph.C.PATH_MARK} s007 --r--> m00 ; m00 --r--> A"]
