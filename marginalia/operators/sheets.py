@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions import text as X
+from marginalia.plans.joins import MANY_TERMS, contained_terms, is_small, lookup_join
 from marginalia.plans.sequence import top_rows, with_halo
 from marginalia.session import stored
 
@@ -255,29 +256,63 @@ def sheet_statistics(blocks: DataFrame, limits: dict | None = None) -> DataFrame
     return stats.withColumn("candidate", graph | sparse)
 
 
+def _held_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(file_md5, page, terms): the terms that occur in the page's text; pages without any are left out.
+
+    pages: file_md5, page, k; terms: file_md5, term. Texts are read where they lie, once for the terms of all files, so the
+    array may hold terms of other files only. More terms than an automaton holds open the pages of their own file by their
+    first two letters, ids only.
+    """
+    terms = terms.filter(F.length("term") > 0).distinct()
+    try:
+        import ahocorasick  # noqa: F401
+
+        if is_small(terms.select("term").distinct(), MANY_TERMS):
+            return contained_terms(pages, F.col("k"), terms, ["file_md5", "page"])
+    except ImportError:
+        pass
+    # pairs of letters, and the last letter alone; one-letter terms are opened by any letter
+    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: F.substr("k", i, F.lit(2)))
+    letters = F.array_distinct(F.concat(bigrams, F.split("k", "")))
+    grams = pages.select("file_md5", "page", F.explode(letters).alias("g"))
+    near = grams.join(terms.withColumn("g", F.left("term", F.lit(2))), ["file_md5", "g"])
+    some = near.groupBy("file_md5", "page").agg(F.array_sort(F.collect_set("term")).alias("near"))
+    held = pages.join(some, ["file_md5", "page"]).select(
+        "file_md5", "page", F.filter("near", lambda x: F.contains(F.col("k"), x)).alias("terms"))
+    return held.filter(F.size("terms") > 0)
+
+
+def _term_sets(held: DataFrame) -> DataFrame:
+    """(file_md5, set_page, terms): the different sets of terms of a file; the first page that has a set stands for it."""
+    return stored(held.groupBy("file_md5", "terms").agg(F.min("page").alias("set_page")), "term-sets")
+
+
+def _to_pages(found: DataFrame, sets: DataFrame, held: DataFrame) -> DataFrame:
+    """What was found for the sets, for every page that has the set."""
+    full = stored(found.join(sets, ["file_md5", "set_page"]).drop("set_page"), "found-sets")
+    return lookup_join(held, full, ["file_md5", "terms"]).drop("terms")
+
+
 def match_pages(pages: DataFrame, sheets: DataFrame, tokens: DataFrame) -> DataFrame:
     """The sheet whose name occurs in the page text; several go by how many tokens they share.
 
-    Names meet page texts on their first two letters inside the file and are then verified, so
-    pages and sheets of a file are never paired wholesale. tokens: file_md5, sheet, token.
+    pages: file_md5, page, text, a row per page; sheets: file_md5, sheet, sheet_no; tokens: file_md5, sheet, token. Each page text
+    is read once for all names and tokens; only ids and terms leave it. Pages with the same terms are matched once.
     """
+    s = sheets.select("file_md5", "sheet", "sheet_no", X.sheet_match_key(F.col("sheet")).alias("term")).filter("term <> ''").distinct()
+    t = tokens.select("file_md5", "sheet", F.col("token").alias("term")).filter("term IS NOT NULL").distinct()
     p = pages.select("file_md5", "page", X.sheet_match_key(F.col("text")).alias("k"))
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: F.substr("k", i, F.lit(2)))
-    grams = p.select("file_md5", "page", "k", F.explode(F.array_distinct(bigrams)).alias("g"))
-    singles = p.select("file_md5", "page", "k", F.explode(F.array_distinct(F.split("k", ""))).alias("g"))
-    s = sheets.select("file_md5", "sheet", "sheet_no", X.sheet_match_key(F.col("sheet")).alias("n")).filter("n <> ''")
-    s = s.withColumn("g", F.left("n", F.lit(2)))
-    long_names = grams.join(s.filter(F.length("n") >= 2), ["file_md5", "g"])
-    one_letter = singles.join(s.filter(F.length("n") < 2), ["file_md5", "g"])
-    hit = long_names.unionByName(one_letter).filter(F.contains("k", "n")).select("file_md5", "page", "sheet", "sheet_no", "k").distinct()
-    shared = (
-        hit.join(tokens.select("file_md5", "sheet", "token").distinct(), ["file_md5", "sheet"])
-        .filter(F.contains("k", "token")).groupBy("file_md5", "page", "sheet").agg(F.count("*").alias("score"))
-    )
-    hit = hit.drop("k").join(shared, ["file_md5", "page", "sheet"], "left").fillna(0, ["score"])
-    return hit.groupBy("file_md5", "page").agg(
-        F.max_by("sheet", F.struct("score", -F.col("sheet_no"))).alias("sheet"), F.count("*").alias("n_named")
-    )
+    held = stored(_held_terms(p, s.select("file_md5", "term").union(t.select("file_md5", "term"))), "page-terms")
+    sets = _term_sets(held)
+    each = sets.select("file_md5", "set_page", F.explode("terms").alias("term"))
+    named = each.join(s, ["file_md5", "term"]).drop("term")
+    shared = each.join(t, ["file_md5", "term"]).groupBy("file_md5", "set_page", "sheet").agg(F.count("*").alias("score"))
+    # an empty token is in every text
+    blank = t.filter("term = ''").select("file_md5", "sheet", F.lit(1).alias("blank"))
+    hit = named.join(shared, ["file_md5", "set_page", "sheet"], "left").join(blank, ["file_md5", "sheet"], "left").fillna(0, ["score", "blank"])
+    best = hit.groupBy("file_md5", "set_page").agg(
+        F.max_by("sheet", F.struct(F.col("score") + F.col("blank"), -F.col("sheet_no"))).alias("sheet"), F.count("*").alias("n_named"))
+    return _to_pages(best, sets, held)
 
 
 def match_pages_weak(
@@ -288,31 +323,29 @@ def match_pages_weak(
 
     pages: file_md5, page, text; sheets: file_md5, sheet, sheet_no; tokens: file_md5, sheet, token. A page chooses the sheet with
     the most tokens that occur in its text, if these are ``min_score`` at least and ``min_lead`` more than the next sheet has.
-    Tokens open a page by their first two letters, ids only; the text is read once per page. Tokens that all sheets of a file
-    have add the same to each: they are counted per page, so pages and sheets are never paired by them.
+    Each page text is read once; pages of a file with the same tokens are matched once, so only sets of tokens meet sheets.
+    Tokens that all sheets of a file have add the same to each: they are counted per set, so sheets are never paired by them.
     """
     t = tokens.select("file_md5", "sheet", "token").filter(F.length("token") >= 2).distinct()
     n_sheets = sheets.groupBy("file_md5").agg(F.count("*").alias("n_sheets"), F.min_by("sheet", "sheet_no").alias("first_sheet"))
     known = t.groupBy("file_md5", "token").agg(F.count("*").alias("held_by")).join(n_sheets, "file_md5")
     p = pages.select("file_md5", "page", X.sheet_match_key(F.col("text")).alias("k"))
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: F.substr("k", i, F.lit(2)))
-    grams = p.select("file_md5", "page", F.explode(F.array_distinct(bigrams)).alias("g"))
-    near = grams.join(known.select("file_md5", "token", F.left("token", F.lit(2)).alias("g")), ["file_md5", "g"])
-    some = near.groupBy("file_md5", "page").agg(F.collect_list("token").alias("tokens"))
-    hit = p.join(some, ["file_md5", "page"]).select("file_md5", "page", F.explode(F.filter("tokens", lambda x: F.contains(F.col("k"), x))).alias("token"))
-    hit = hit.join(known, ["file_md5", "token"])
-    per_page = hit.groupBy("file_md5", "page").agg(
+    held = stored(_held_terms(p, t.select("file_md5", F.col("token").alias("term"))), "page-terms")
+    sets = _term_sets(held)
+    key = ["file_md5", "set_page"]
+    hit = sets.select(*key, F.explode("terms").alias("token")).join(known, ["file_md5", "token"])
+    per_set = hit.groupBy(*key).agg(
         F.count_if(F.col("held_by") == F.col("n_sheets")).alias("shared"), F.max("n_sheets").alias("n_sheets"), F.max("first_sheet").alias("first_sheet"))
-    own = hit.filter("held_by < n_sheets").select("file_md5", "page", "token").join(t, ["file_md5", "token"])
-    own = own.groupBy("file_md5", "page", "sheet").agg(F.count("*").alias("own")).join(sheets.select("file_md5", "sheet", "sheet_no"), ["file_md5", "sheet"])
-    best = top_rows(own, ["file_md5", "page"], [F.col("own").desc(), F.col("sheet_no")], 2, "r").groupBy("file_md5", "page").agg(
+    own = hit.filter("held_by < n_sheets").select(*key, "token").join(t, ["file_md5", "token"])
+    own = own.groupBy(*key, "sheet").agg(F.count("*").alias("own")).join(sheets.select("file_md5", "sheet", "sheet_no"), ["file_md5", "sheet"])
+    best = top_rows(own, key, [F.col("own").desc(), F.col("sheet_no")], 2, "r").groupBy(*key).agg(
         F.max(F.when(F.col("r") == 1, F.col("sheet"))).alias("sheet"), F.max(F.when(F.col("r") == 1, F.col("own"))).alias("o1"),
         F.max(F.when(F.col("r") == 2, F.col("own"))).alias("o2"))
-    out = per_page.join(best, ["file_md5", "page"], "left")
+    out = per_set.join(best, key, "left")
     second = F.when(F.col("o2").isNotNull(), F.col("o2") + F.col("shared")).when((F.col("shared") > 0) & (F.col("n_sheets") > 1), F.col("shared")).otherwise(-1)
     out = out.withColumns({"score": F.coalesce("o1", F.lit(0)) + F.col("shared"), "second": second, "sheet": F.coalesce("sheet", "first_sheet")})
-    return out.filter((F.col("score") >= max(1, min_score)) & (F.col("score") >= F.col("second") + max(0, min_lead))).select(
-        "file_md5", "page", "sheet", "score", "second")
+    out = out.filter((F.col("score") >= max(1, min_score)) & (F.col("score") >= F.col("second") + max(0, min_lead)))
+    return _to_pages(out.select(*key, "sheet", "score", "second"), sets, held)
 
 
 def backfill_pages(pages: DataFrame) -> DataFrame:

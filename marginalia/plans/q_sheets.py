@@ -176,8 +176,10 @@ def page_match(t: Tables):
     sheets = t.raw("part").select((k % 50).cast("string").alias("file_md5"), "p_name", "p_brand").groupBy("file_md5", F.col("p_name").alias("sheet")).agg(
         F.min("p_brand").alias("b")).withColumn("sheet_no", F.ascii("sheet") * 1000 + F.length("sheet"))
     toks = sheets.select("file_md5", "sheet", F.explode(F.array(X.sheet_match_key(F.col("sheet")), X.sheet_match_key(F.col("b")))).alias("token"))
-    pages = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == k).groupBy((k % 50).cast("string").alias("file_md5"), (F.col("l_orderkey") % 40).cast("int").alias("page")).agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws(" - ", "p_name", "p_brand"))), "\n").alias("text"))
+    # lines are made distinct before they are collected: a page holds each once, however many orders name it
+    lines = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == k).select(
+        (k % 50).cast("string").alias("file_md5"), (F.col("l_orderkey") % 40).cast("int").alias("page"), F.concat_ws(" - ", "p_name", "p_brand").alias("line")).distinct()
+    pages = lines.groupBy("file_md5", "page").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
     m = S.match_pages(pages, sheets, toks)
     return m.select("file_md5", "page", F.length("sheet").alias("n"), "n_named")
 

@@ -1,6 +1,7 @@
 """Steps whose rows must not grow with pairs: what is shuffled or how it is dealt, and the plain result beside it."""
 
 import math
+import random
 import time
 from collections import Counter
 
@@ -25,6 +26,20 @@ def shuffled_rows(spark, make):
     return total() - before, out
 
 
+def shuffled_bytes(spark, make):
+    """The bytes that a job's stages write to shuffles, and what it returns."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        seen = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum({seen.apply(i).stageId(): seen.apply(i).shuffleWriteBytes() for i in range(seen.size())}.values())
+
+    before = total()
+    out = make()
+    return total() - before, out
+
+
 def test_user_tags_are_dealt_by_the_rows_they_make(spark):
     tags = spark.createDataFrame([("R", None)] + [(f"S{i}", "R") for i in range(300)], "tag_id string, parent_tag string")
     users = spark.createDataFrame([(i, "R, S1," if i % 2 else None) for i in range(400)], "user_id long, org_tags string")
@@ -222,3 +237,53 @@ def test_paths_many_searches_ask_for_are_walked_once(spark):
         assert rows < 60_000  # each search walked by itself
     text = graph.path_results(graph.first_paths(asked.filter("search_id = 7"), edges, 2), edges).collect()
     assert [r["text_content"] for r in text] == [f"{graph.C.PATH_MARK} s007 --r--> m00 ; m00 --r--> A"]
+
+
+def plain_pages(pages, rows, tokens):
+    """The sheet of every page by pairing all pages and sheets of a file: (file_md5, page, sheet, n_named)."""
+    want = set()
+    for f, p, body in pages:
+        k = body.replace(" ", "")
+        hit = [(sum(t in k for g, m, t in tokens if (g, m) == (f, n)), -i, n) for g, n, i in rows if g == f and n.replace(" ", "") in k]
+        if hit:
+            want.add((f, p, max(hit)[2], len(hit)))
+    return want
+
+
+def sheet_tables(spark):
+    rnd = random.Random(4)
+    names = {f: [f"{f}sheet {i}" for i in range(30)] + ["q"] for f in ("a", "b")}
+    rows = [(f, n, i) for f in names for i, n in enumerate(names[f])]
+    tokens = [(f, n, t) for f, n, i in rows for t in {n.replace(" ", ""), f"tok{i % 4}", "" if i % 3 else "w"}]
+    filler = lambda: "".join(chr(0x4E00 + rnd.randrange(8000)) for _ in range(6_000))
+    text = lambda f, p: " ".join([*(names[f][(p + j) % 31] for j in range(p % 5)), f"tok{p % 4}", filler()])
+    pages = [(f, p, text(f, p)) for f in names for p in range(60)]
+    return (pages, rows, tokens), (
+        spark.createDataFrame(pages, "file_md5 string, page int, text string"),
+        spark.createDataFrame(rows, "file_md5 string, sheet string, sheet_no int"), spark.createDataFrame(tokens, "file_md5 string, sheet string, token string"))
+
+
+def test_page_texts_are_not_shuffled_to_find_sheet_names(spark):
+    plain, tables = sheet_tables(spark)
+    size, got = shuffled_bytes(spark, lambda: sheets.match_pages(*tables).collect())
+    assert sorted((r["file_md5"], r["page"], r["sheet"], r["n_named"]) for r in got) == sorted(plain_pages(*plain))
+    assert size < 500_000  # each of 240 hits had its page text of 18 KB
+
+
+def test_more_sheet_names_than_an_automaton_holds(spark, monkeypatch):
+    plain, tables = sheet_tables(spark)
+    monkeypatch.setattr(sheets, "MANY_TERMS", 10)
+    got = sheets.match_pages(*tables).collect()
+    assert sorted((r["file_md5"], r["page"], r["sheet"], r["n_named"]) for r in got) == sorted(plain_pages(*plain))
+
+
+def test_sheets_meet_sets_of_tokens_not_pages(spark):
+    tokens = [("a", f"s{i}", t) for i in range(40) for t in (f"own{i}", f"kind{i % 2}", f"brand{i % 5}")]
+    sh = spark.createDataFrame([("a", f"s{i}", i) for i in range(40)], "file_md5 string, sheet string, sheet_no int")
+    tk = spark.createDataFrame(tokens, "file_md5 string, sheet string, token string")
+    named = F.when(F.col("id") % 3 == 0, F.concat(F.lit("own"), F.col("id") % 10)).otherwise("z")
+    pages = spark.range(3000).select(F.lit("a").alias("file_md5"), F.col("id").alias("page"), F.concat(
+        F.lit("kind"), F.col("id") % 2, F.lit(" - brand"), F.col("id") % 5, F.lit(" - "), named).alias("text"))
+    n_rows, got = shuffled_rows(spark, lambda: sheets.match_pages_weak(pages, sh, tk).collect())
+    assert sorted((r["page"], r["sheet"], r["score"], r["second"]) for r in got) == [(p, f"s{p % 10}", 3, 2) for p in range(0, 3000, 3)]
+    assert n_rows < 12_000  # 3,000 pages met some 24 sheets each
