@@ -141,6 +141,7 @@ def to_blocks(df: DataFrame) -> DataFrame:
             F.format_string("%.2f", e["confidence"]))),
     )
     every = F.concat(F.array_compact(F.array(page, summary, proj)), nodes, edges)
-    return df.select("file_md5", "image_path", F.posexplode(every).alias("block_no", "b")).select(
+    # an inner explode makes Spark filter on the blocks first, which would work out the whole analysis again
+    return df.select("file_md5", "image_path", F.posexplode_outer(every).alias("block_no", "b")).filter("b IS NOT NULL").select(
         "file_md5", "image_path", "block_no", "b.type", "b.text", F.lit("vlm_sheet_snapshot").alias("source_parser")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import constants as C
 from marginalia.functions import text as X
 from marginalia.operators import analyses as A, blocks as B, pages as P, sheets as S
+from marginalia.plans.joins import spread
 from marginalia.plans.oracle import clean, has_any, with_tables
 from marginalia.plans.tables import Tables
 from marginalia.session import stored
@@ -301,7 +302,7 @@ def payloads(t: Tables):
         F.array(F.struct(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.lit("输入").alias("relation_type"), F.lit("0.9").alias("confidence")),
                 F.struct(F.col("p_type").alias("src"), F.col("p_type").alias("dst"), F.lit("").alias("relation_type"), F.lit("x").alias("confidence"))).alias("edges"),
     ))
-    return t.raw("part").select(
+    return spread(t.raw("part")).select(
         F.md5(k.cast("string")).alias("file_md5"), F.when(k % 8 != 0, F.concat(F.lit("img/"), k)).alias("image_path"), js.alias("payload_json"))
 
 
