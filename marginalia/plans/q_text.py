@@ -8,6 +8,7 @@ from marginalia import constants as C
 from marginalia.functions import questions as Q
 from marginalia.functions import text as X
 from marginalia.functions.unicode import sheet_name_key
+from marginalia.plans.joins import spread
 from marginalia.plans.oracle import clean, has_any, lit, node_key, rr, sql_list, strip, with_tables
 from marginalia.plans.tables import Tables
 
@@ -26,7 +27,7 @@ def clean_preview(t: Tables):
         F.col("p_brand"), F.lit(" | | col_2 : "), F.col("p_type"), F.lit(" ; "),
     )
     kind = F.when(F.col("p_size") % 3 == 0, "text").otherwise("table_row")
-    parts = t.raw("part").select(
+    parts = spread(t.raw("part")).select(
         F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), X.clean_preview(noisy, kind).alias("preview")
     )
     lines = t.blocks().select(

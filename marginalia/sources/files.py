@@ -28,8 +28,9 @@ def text_blocks(files: DataFrame) -> DataFrame:
     text = F.when(ext.isin(MARKDOWN), clean_markdown(F.col("value"))).otherwise(clean_text(F.col("value")))
     null_text = F.lit(None).cast("string")
     md5 = F.col("file_md5") if "file_md5" in files.columns else F.md5("value")
+    # a filter on the text itself would be worked out before it, and the text a second time
     return files.select(
-        md5.alias("file_md5"), "file_name", F.lit(0).alias("block_index"), F.lit("text").alias("type"), text.alias("text"),
+        md5.alias("file_md5"), "file_name", F.lit(0).alias("block_index"), F.lit("text").alias("type"), F.explode_outer(F.array(text)).alias("text"),
         F.lit(None).cast("int").alias("page"), null_text.alias("section"), null_text.alias("sheet"),
         F.lit(None).cast("map<string,string>").alias("row_json"), F.lit("tika").alias("source_parser"),
         F.when(ext == "", "unknown").otherwise(ext).alias("file_type"), null_text.alias("image_path"),

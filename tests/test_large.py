@@ -8,8 +8,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, sheets
-from marginalia.plans import q_graph
+from marginalia.plans import joins, q_graph, q_sheets, q_streaming
 from marginalia.plans.tables import Tables
+from marginalia.sources import files
 
 
 def shuffled_rows(spark, make):
@@ -287,3 +288,35 @@ def test_sheets_meet_sets_of_tokens_not_pages(spark):
     n_rows, got = shuffled_rows(spark, lambda: sheets.match_pages_weak(pages, sh, tk).collect())
     assert sorted((r["page"], r["sheet"], r["score"], r["second"]) for r in got) == [(p, f"s{p % 10}", 3, 2) for p in range(0, 3000, 3)]
     assert n_rows < 12_000  # 3,000 pages met some 24 sheets each
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= 8  # as many splits as cores, but one of them holds all rows
+        parts = joins.spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in parts) == 4000 and max(r["count"] for r in parts) < 2000
+
+
+def filters_of(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+
+
+def test_texts_are_not_worked_out_for_a_filter_first(spark):
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    assert t.chunks().count() > 0 and t.blocks().count() > 0
+    for df in (t.chunks(), t.blocks(), q_sheets.analysis_blocks(t), q_streaming.markdown_blocks(t)):
+        seen = filters_of(df)
+        assert not any(w in x for x in seen for w in ("regexp_replace", "split(", "transform(", "from_json")), seen
+
+
+def test_empty_texts_give_no_blocks(spark):
+    rows = spark.createDataFrame([("a.md", "# \n"), ("b.txt", " x "), ("c.txt", None), ("d.md", "**y**")], "file_name string, value string")
+    got = files.text_blocks(rows).collect()
+    assert sorted((r["file_name"], r["text"]) for r in got) == [("b.txt", "x"), ("d.md", "y")]
