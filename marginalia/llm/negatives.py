@@ -8,9 +8,11 @@ leaves that are left, every inner product is computed. Results are exact whateve
 
 The split points are fitted on a bounded sample of rows; all rows are routed, and ranges and norms are those of all rows. A
 leaf's rows lie in chunks of about ``CHUNK``: one table row with ids, labels and a matrix, so a leaf of copies is many chunks.
-Anchors, laid out by leaf, travel in blocks to the chunks of the leaves they visit. Positives: first the anchor's own leaf,
-whose k-th best score bounds the annulus for the others. Negatives: the hull of the windows of the anchor's positives. A task
-keeps the best of each anchor and window over its chunks and never holds more than ``HELD`` of them.
+Anchors, laid out by leaf, travel in blocks to the chunks of the leaves they visit: a block goes once to a group of chunks, with
+its rows for each leaf there, and groups are a few per core, so what is shuffled grows with the anchors, not with anchors times
+leaves. Neither side is broadcast. Positives: first the anchor's own leaf, whose k-th best score bounds the annulus for the
+others. Negatives: the hull of the windows of the anchor's positives. A task keeps the best of each anchor and window over its
+chunks and never holds more than ``HELD`` of them.
 
 Defined cases: rows with a null label, a null vector or a null or non-finite component take no part; shorter vectors end in
 zeros; an empty vector is zero; a null id sorts last and is no anchor; repeated rows are rows of their own, and a row is never
@@ -34,6 +36,8 @@ from marginalia.session import ship, stored
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 FANOUT, LEAF, LEAVES = 16, 2048, 4096
 CHUNK, ANCHORS, HELD = 4096, 1024, 1 << 20
+#: Groups of chunks per core.
+GROUPS = 4
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 NONE, ALL = -(1 << 62), 1 << 62
 
@@ -264,6 +268,13 @@ class Forest:
     dim: int
     dtype: str
 
+    @property
+    def grouped(self) -> tuple[list[int], int]:
+        """A chunk's number is its leaf's first one plus its part; as many with neighbouring numbers make up a group."""
+        first = np.cumsum([0] + [self.parts.get(i, 0) for i in range(len(self.tree.paths))]).tolist()
+        cores = self.rows.sparkSession.sparkContext.defaultParallelism
+        return first, max(1, -(-first[-1] // max(1, int(GROUPS * cores))))
+
     @classmethod
     def grown(cls, rows: DataFrame, leaf: int = LEAF, chunk: int = CHUNK, sample: int = SAMPLE) -> Forest:
         spark = rows.sparkSession
@@ -311,10 +322,11 @@ class Forest:
         another label in each window. ``own``: only the anchor's leaf (True), only the others (False), or all."""
         spark, dim, dtype = anchors.sparkSession, self.dim, self.dtype
         blocks = packed(anchors.repartitionByRange("leaf", "_row").sortWithinPartitions("leaf", "_row"), ["_row", "label", "leaf", "low", "high"], [], ANCHORS)
-        sent = spark.sparkContext.broadcast((self.tree, self.parts))
+        first, width = self.grouped
+        sent = spark.sparkContext.broadcast((self.tree, self.parts, first))
 
         def send(batches):
-            tree, parts = sent.value
+            tree, parts, first = sent.value
             for batch in batches:
                 for i in range(len(batch)):
                     row, label, leaf, low, high = (batch.column(c)[i].values for c in ("_row", "label", "leaf", "low", "high"))
@@ -330,15 +342,21 @@ class Forest:
                         visits = tree.visits(x, np.where(lo <= NONE, -np.inf, lo), np.where(hi >= ALL, np.inf, hi))
                         if own is False:
                             visits = {v: rows[at[rows] != v] for v, rows in visits.items()}
-                    for v, rows in visits.items():
-                        if len(rows) and v in parts:
-                            taken, bytes_ = pa.array(rows), x[rows].tobytes()
-                            values = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), c.take(taken)) for c in (row, label, low, high)]
-                            for p in range(parts[v]):
-                                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([p], pa.int32()), *values, pa.array([bytes_], pa.binary())],
-                                                                 names=["leaf", "part", "a_row", "a_label", "low", "high", "a_v"])
-
-        visits = blocks.mapInArrow(send, "leaf int, part int, a_row array<long>, a_label array<long>, low array<array<long>>, high array<array<long>>, a_v binary")
+                    groups: dict[int, list[int]] = {}
+                    for v in sorted(v for v, rows in visits.items() if len(rows) and v in parts):
+                        for g in range(first[v] // width, (first[v] + parts[v] - 1) // width + 1):
+                            groups.setdefault(g, []).append(v)
+                    for g, leaves in groups.items():
+                        rows = np.unique(np.concatenate([visits[v] for v in leaves]))
+                        taken, bytes_ = pa.array(rows), x[rows].tobytes()
+                        values = [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), c.take(taken)) for c in (row, label, low, high)]
+                        at_leaf = pa.array([[np.searchsorted(rows, visits[v]).astype(np.int32) for v in leaves]], pa.list_(pa.list_(pa.int32())))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([g], pa.int32()), pa.array([leaves], pa.list_(pa.int32())), at_leaf, *values, pa.array([bytes_], pa.binary())],
+                            names=["group", "leaves", "at_leaf", "a_row", "a_label", "low", "high", "a_v"])
+
+        visits = blocks.mapInArrow(
+            send, "group int, leaves array<int>, at_leaf array<array<int>>, a_row array<long>, a_label array<long>, low array<array<long>>, high array<array<long>>, a_v binary")
 
         def answer(batches):
             held, size = [], 0
@@ -351,6 +369,10 @@ class Forest:
 
             for batch in batches:
                 for i in range(len(batch)):
+                    place = np.flatnonzero(np.asarray(batch.column("leaves")[i].values) == batch.column("leaf")[i].as_py())
+                    if not len(place):
+                        continue
+                    rows = np.asarray(batch.column("at_leaf")[i][int(place[0])].values)
                     a_row, a_label, row, label = (np.asarray(batch.column(c)[i].values) for c in ("a_row", "a_label", "_row", "label"))
                     ids = batch.column("vec_id")[i].values
                     missing, ids = np.asarray(ids.is_null()).astype(np.int64), np.asarray(ids.fill_null(0))
@@ -358,6 +380,7 @@ class Forest:
                     a, x = (np.frombuffer(batch.column(c)[i].as_py(), dtype).reshape(-1, dim) for c in ("a_v", "v"))
                     if not dim:
                         a, x = np.zeros((len(a_row), 1)), np.zeros((len(row), 1))
+                    a_row, a_label, low, high, a = a_row[rows], a_label[rows], low[rows], high[rows], a[rows]
                     scores = scored(a, x)
                     allowed = (a_label[:, None] == label) & (a_row[:, None] != row) if same else a_label[:, None] != label
                     at, window, place = windows_in(scores, allowed, low, high, k)
@@ -372,7 +395,13 @@ class Forest:
             if held:
                 yield out(firsts(np.concatenate(held, axis=1), k))
 
-        return visits.join(self.chunks, ["leaf", "part"]).select("a_row", "a_label", "low", "high", "a_v", "_row", "vec_id", "label", "v").mapInArrow(answer, FOUND)
+        number = F.get(F.array(*[F.lit(n) for n in first]), F.col("leaf")) + F.col("part")
+        chunks = self.chunks.withColumn("group", F.floor(number / width).cast("int"))
+        # Spark takes the visits for as small as the anchors and would send them through the driver; the work is in the pairs, not in
+        # the bytes, so the number of tasks is given, with room for groups to fall apart
+        tasks = 4 * -(-first[-1] // width) or 1
+        return visits.repartition(tasks, "group").join(chunks.repartition(tasks, "group").hint("merge"), "group").select(
+            "leaves", "at_leaf", "a_row", "a_label", "low", "high", "a_v", "leaf", "_row", "vec_id", "label", "v").mapInArrow(answer, FOUND)
 
 
 def top(found: DataFrame, keys: list[str], k: int) -> DataFrame:

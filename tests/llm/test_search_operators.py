@@ -177,3 +177,23 @@ def test_tree_eliminates_siblings_and_keeps_every_match():
     for v in leaf.tolist():
         some[v] += 1
     assert len(tree.nodes) > 1 and sum(some.values()) == len(x)
+
+
+@pytest.mark.parametrize("groups", [0.25, 4])
+def test_anchors_meet_chunks_without_the_driver(spark, groups, monkeypatch):
+    data = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], c) for i, v, c in vectors()]
+    monkeypatch.setattr(negatives, "GROUPS", groups, raising=False)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    prepared = negatives.prepared(spark.createDataFrame(data, SCHEMA).withColumn("label", label), F.transform("embedding", lambda x: x.cast("double") * 256))
+    forest, plans = negatives.Forest, []
+    search = forest.search
+
+    def seen(*args, **kwargs):
+        out = search(*args, **kwargs)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(forest, "search", seen)
+    got = negatives.mined(prepared, F.col("vec_id") % 50 == 0, leaf=20, chunk=16, sample=200)
+    assert Counter(map(tuple, got.collect())) == plain_negatives(data)
+    assert len(plans) == 3 and not any(re.search(r"BroadcastHashJoin \[(leaf|group)", p) for p in plans)
