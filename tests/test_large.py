@@ -5,6 +5,7 @@ import random
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, sheets
@@ -61,6 +62,28 @@ def test_readable_files_of_one_token_are_dealt_by_the_rows_they_make(spark):
     assert max(r["count"] for r in parts) < 60_000
 
 
+def test_pairs_of_large_groups_are_written_in_few_bytes(spark, tmp_path):
+    names = spark.range(200).select(F.md5(F.col("id").cast("string")).alias("file_md5"), F.lit("k").alias("kind"))
+    users = spark.range(20_000).select(F.lit("k").alias("kind"), F.col("id").alias("user_id"))
+    path = str(tmp_path / "pairs")
+    joins.many_to_many(names, users, "kind").select("user_id", "file_md5").write.parquet(path)
+    out = spark.read.parquet(path)
+    assert out.count() == out.distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4_000_000 / 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_many_to_many_beside_plain(spark, monkeypatch, small):
+    monkeypatch.setattr(joins, "is_small", lambda df: small)
+    rnd = random.Random(3)
+    lefts = [(rnd.choice("aabc") if i % 9 else None, i // 2 if i % 5 else None, f"x{i % 3}") for i in range(400)]
+    rights = [(rnd.choice("aad") if i % 9 else None, i // 3 if i % 5 else None) for i in range(700)]
+    left, right = spark.createDataFrame(lefts, "k string, a long, b string"), spark.createDataFrame(rights, "k string, c long")
+    got = Counter(map(tuple, joins.many_to_many(left, right, "k", 2000).collect()))
+    assert got == Counter((k, a, b, c) for k, a, b in lefts for r, c in rights if k is not None and k == r)
+    assert joins.many_to_many(left.limit(0), right, "k").count() == joins.many_to_many(left, right.limit(0), "k").count() == 0
+
+
 def test_drawing_edges_look_at_every_spot_once(spark):
     nodes = [(no, f"n{no}", 10.0 * (no % 5), 7.0 * (no % 3)) for no in range(300)]
     ends = [(c, float(c % 40), float(c % 7), float((c * 7) % 40), float(c % 11)) for c in range(4000)]
