@@ -37,10 +37,12 @@ def _counts(rows: DataFrame, sign: int) -> DataFrame:
 def update(chunks: DataFrame, files: DataFrame, root: str, batch_id: int) -> None:
     """Replace the index rows of `files` (file_md5) by those of `chunks` (file_md5, chunk_id, text_content)."""
     spark = files.sparkSession
-    new = index_columns(chunks.select(*KEY, "text_content")).select(*KEY, "dl", "tf", _bucket().alias("bucket"))
+    # one folder a bucket, so that an update can skip the others; texts are dealt out, which take half of what their terms do, and
+    # in a given number of parts, since the work is in the texts, not in their bytes
+    dealt = chunks.select(*KEY, "text_content").withColumn("bucket", _bucket()).repartition(BUCKETS, "bucket")
+    new = index_columns(dealt).select(*KEY, "dl", "tf", "bucket")
     path = f"{root}/{ROWS}/batch={batch_id}"
-    # one folder a bucket, so that an update can skip the others
-    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    new.write.mode("overwrite").partitionBy("bucket").parquet(path)
     # counted from what was written: the texts are taken apart once; with the schema given, also where there is no row
     changes = _counts(spark.read.schema(new.schema).parquet(path), 1)
     old = old_rows(spark, files, root, batch_id)
@@ -79,10 +81,11 @@ def ingest_indexed(
 ) -> StreamingQuery:
     """M01 with its index: every micro-batch replaces the rows of its files; a file without chunks leaves the index."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = newest_versions(batch, order or []).persist()
+        once = newest_versions(batch, order or [])  # its texts are read once, so they are not kept; the names are
+        names = once.select("file_md5").persist()
         try:
-            update(process(once.drop(*(order or []))), once.select("file_md5"), root, batch_id)
+            update(process(once.drop(*(order or []))), names, root, batch_id)
         finally:
-            once.unpersist()
+            names.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -21,6 +21,7 @@ def arrivals(t: Tables):
     """Documents as files that arrive in three batches: two thirds, then the rest and every third again with a changed text, then
     every sixth again without text and every third as it was."""
     d = t.raw("documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("file_md5"), clean_text(F.col("text")).alias("value"))
+    d = stored(d, "cleaned")
     i = F.col("doc_id")
     at = lambda rows, n, v: rows.select("doc_id", "file_md5", v.alias("value"), F.lit(n).alias("arrival"))
     v = F.col("value")
@@ -38,7 +39,7 @@ def _whole_texts(files):
 
 def index_under_ingest(t: Tables):
     """The vocabulary after three batches with repeated files, the last of which is replayed."""
-    rows = stored(arrivals(t), "arrivals")
+    rows = arrivals(t)
     root, chk = scratch(t.spark, "live-index"), scratch(t.spark, "live-index-chk")
     live_index.ingest_indexed(as_stream(t, "arrivals", rows, F.col("arrival")).select("file_md5", "value"), root, chk, _whole_texts).awaitTermination()
     last = rows.filter(F.col("arrival") == BATCHES - 1).select("file_md5", "value")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from marginalia import constants as C
 from marginalia.operators.blocks import enrich
 from marginalia.operators.chunking import pack_blocks
+from marginalia.plans.joins import is_small
 from marginalia.sources.files import text_blocks
 from marginalia.sources.tables import current_rows, replace_files
 from marginalia.streaming.monitor import utc_instant
@@ -61,10 +62,16 @@ def chunk_batch(files: DataFrame) -> DataFrame:
 
 
 def newest_versions(files: DataFrame, order: list[str]) -> DataFrame:
-    """One row per file: the last by `order`, on ties the greatest row."""
+    """One row per file: the last by `order`, on ties the greatest row. Only rows of files that come twice are grouped."""
     rest = [c for c in files.columns if c != "file_md5"]
+    twice = files.groupBy("file_md5").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("file_md5").alias("_twice"))
+    if twice.isEmpty():
+        return files
+    known = F.broadcast(twice) if is_small(twice) else twice
+    same = files.join(known, F.col("file_md5").eqNullSafe(F.col("_twice")), "left_semi")
     last = F.max_by(F.struct(*rest), F.struct(*order, *rest))
-    return files.groupBy("file_md5").agg(last.alias("r")).select("file_md5", "r.*").select(*files.columns)
+    one = same.groupBy("file_md5").agg(last.alias("r")).select("file_md5", "r.*").select(*files.columns)
+    return files.join(known, F.col("file_md5").eqNullSafe(F.col("_twice")), "left_anti").unionByName(one)
 
 
 def ingest(

@@ -12,6 +12,7 @@ from marginalia.operators import acl, evaluation, evidence, graph, live_index, r
 from marginalia.plans import joins, q_graph, q_sheets, q_streaming
 from marginalia.plans.tables import Tables
 from marginalia.sources import files
+from marginalia.streaming import ingest
 
 
 def shuffled_rows(spark, make):
@@ -210,6 +211,25 @@ def test_index_update_takes_texts_apart_once(spark, tmp_path):
     assert live_index.vocabulary(spark, str(tmp_path / "t")).count() == 0
 
 
+def test_texts_of_files_that_come_once_are_not_shuffled(spark, tmp_path):
+    rnd = random.Random(6)
+    data = [(f"f{i}", 1, "".join(rnd.choices("abcdefghij ", k=1500))) for i in range(1000)]
+    schema = "file_md5 string, version int, value string"
+    again = [("f3", 2, "new"), ("f4", 0, "old"), ("f5", 1, "~"), ("f5", 1, "~"), (None, 1, "x"), (None, 2, "y"), (None, None, "z")]
+    for some, most in ((data, 0), (data + again, 60_000)):
+        spark.createDataFrame(some, schema).repartition(3).write.mode("overwrite").parquet(str(tmp_path / "t"))
+        batch = spark.read.parquet(str(tmp_path / "t"))
+        moved, got = shuffled_bytes(spark, lambda: ingest.newest_versions(batch, ["version"]).collect())
+        want = {}
+        for f, v, x in sorted(some, key=lambda r: (r[1] or -1, r[2])):
+            want[f] = (f, v, x)
+        assert Counter(map(tuple, got)) == Counter(want.values())
+        assert moved < 60_000 + most < sum(len(r[2]) for r in data) / 5
+    files = spark.createDataFrame([(f, 0, x) for f, _, x in data], "file_md5 string, chunk_id int, text_content string")
+    live_index.update(files, files.select("file_md5"), str(tmp_path / "index"), 0)
+    assert sorted(r["df"] for r in live_index.vocabulary(spark, str(tmp_path / "index")).collect()) == sorted(retrieval.vocabulary(files).toPandas()["df"])
+
+
 def test_candidate_chunks_are_not_shuffled_per_query(spark):
     words = [f"w{i}" for i in range(12)]
     texts = {(f"f{i % 40:02d}", i // 40): " ".join(words[(i * s + s) % 12] for s in range(1, 8 + i % 5)) for i in range(800)}
