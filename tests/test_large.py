@@ -5,10 +5,12 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, sheets
+from marginalia.operators import acl, evaluation, evidence, graph, live_index, retrieval, scoring, sheets
 from marginalia.plans import joins, q_graph, q_sheets, q_streaming
 from marginalia.plans.tables import Tables
 from marginalia.sources import files
@@ -262,6 +264,22 @@ def test_candidate_chunks_are_not_shuffled_per_query(spark):
     assert rows < 10_000  # every pair was, several times
 
 
+def test_queries_of_the_same_words_are_scored_once(monkeypatch):
+    calls, part = [], scoring.tf_part
+    monkeypatch.setattr(scoring, "tf_part", lambda tf, dl, avg: calls.append(1) or part(tf, dl, avg))
+    asked = [Row(query_id=j, reader=[f"t{j % 3}"] if j != 7 else None, enough=1, need=1, n_terms=2, idf_sum=3.0, avg_dl=2.0, whole=" a  b ", short=0,
+                 entries=[("a", 1.0), ("b", 2.0)]) for j in range(60)]
+    n = 30
+    index = pa.RecordBatch.from_pydict({"key": list(range(n)), "dl": [2] * n, "terms": [["a", "b"]] * n, "tfs": [[1, 1]] * n,
+                                        "file_tokens": [[f"t{i % 3}"] if i else None for i in range(n)], "body": [" a  b "] * n})
+    schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), *[(c, pa.float64()) for c in ("match", "phrase", "prefix")]])
+    got = pa.Table.from_batches(scoring.text_pass(asked, ["key"], schema)(iter([index])), schema).to_pylist()
+    want = {(j, i) for j in range(60) for i in range(1, n) if j != 7 and j % 3 == i % 3}
+    assert {(r["query_id"], r["key"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["match"] - 3.0) < 1e-9 and abs(r["phrase"] - 3.0) < 1e-9 and r["prefix"] == 0 for r in got)
+    assert len(calls) < 2 * n  # one per chunk, not one per pair
+
+
 def test_hits_of_a_common_word_are_cut_in_their_task(spark):
     data = [("f%d" % (i // 4 % 30), i % 4, (i, i % 4), [f"t{i % 3}", None, "any"] if i % 7 else None, ["common"] + ["rare"] * (i % 500 == 3)) for i in range(3000)]
     schema = "file_md5 string, chunk_id int, row_order struct<doc_id int, chunk_id int>, file_tokens array<string>, terms array<string>"
